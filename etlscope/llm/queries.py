@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup
+from . import decontam, neardup, tokens
 from .util import table
 
 
@@ -14,6 +14,17 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.query(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The installed public byte-level BPE vocabulary; the operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.query(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
