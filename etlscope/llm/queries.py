@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, quality, substring, tokens, toxicity
+from . import decontam, mixing, neardup, quality, substring, tokens, toxicity
 from .util import table
 
 
@@ -26,6 +26,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.query(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The installed public byte-level BPE vocabulary; the operators take any path."""
     import public_tokenizers
