@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, mixing, neardup, quality, substring, tokens, toxicity
+from . import decontam, fingerprint, mixing, neardup, quality, substring, tokens, toxicity, warc
 from .util import table
 
 
@@ -22,6 +22,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.query(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest AS d, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < best THEN best END AS refers_to
+FROM p LEFT JOIN g ON payload_digest = d AND payload_bytes >= 1000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL}
