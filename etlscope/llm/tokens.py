@@ -17,8 +17,9 @@ The files are written by Spark's line writer (each part above is one "line" of r
 that Spark can write, under Spark's commit protocol: retried or lost tasks leave no partial shards.
 
 The tokenizer sees each distinct piece of text once.  A text may be cut before a single space between two visible
-characters and around a single newline between two, because the byte-level pre-tokenizer always starts a new piece
-there; ids of pieces are kept in a bounded cache per worker.
+characters, around a single newline between two, and after a letter before punctuation, because the byte-level
+pre-tokenizer always starts a new piece there; ids of pieces are kept in a bounded cache per worker process.  A piece
+of letters only, with at most a leading space, is one pre-token and goes straight to the tokenizer's BPE model.
 
 Edge cases: null text is empty and gives only the end id; a null doc_id sorts first; equal ids are ordered by text;
 an empty table gives an empty result.
@@ -42,7 +43,7 @@ from .util import new_folder
 MAGIC = b"BPSHUF01"
 BLOCK = 1 << 16
 END_ID = 2
-CACHE = 1_000_000  # pieces
+CACHE = 400_000  # pieces
 _HEADER, _FOOTER = "<8sIII", "<6Q8s"
 
 
@@ -178,11 +179,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(b" " in a or b"\n" in a for a in self.added):
+            raise ValueError("added tokens with white space are not supported")
         self.cache_size = cache
         self.clear()
-        visible = np.zeros(256, bool)
-        visible[0x21:0x7F] = True
-        self.visible = visible
+        self.visible = np.zeros(256, bool)
+        self.visible[0x21:0x7F] = True
+        self.letter = np.zeros(256, bool)
+        self.letter[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+        self.mark = self.visible & ~self.letter
+        self.mark[0x30:0x3A] = False
+        # a byte-level model spells bytes as printable characters: most as themselves, the space and a few as others
+        self.spelling = byte_spelling()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
@@ -199,6 +208,10 @@ class Encoder:
         begin[offsets[:-1][np.diff(offsets) > 0]] = True
         if n > 2:
             lead = data == 0xC3
+            letter = self.letter[data]
+            letter[1:] |= lead[:-1] & (data[1:] != 0x97) & (data[1:] != 0xB7)  # all letters but the signs for times and divide
+            if not self.has_added(data):
+                begin[1:] |= letter[:-1] & self.mark[data[1:]]
             after = self.visible[data] | lead  # a visible character begins here
             before = self.visible[data]
             before[1:] |= lead[:-1]  # ... or ends here
@@ -212,9 +225,23 @@ class Encoder:
             begin[gap[data[gap] == 0x0A] + 1] = True
         return np.flatnonzero(begin)
 
+    def has_added(self, data: np.ndarray) -> bool:
+        """Whether a string of the tokenizer's added tokens occurs; a cut must not fall inside one."""
+        raw = data.tobytes()
+        return any(a in raw for a in self.added)
+
     def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-            ids = e.ids
+        found: list = [None] * len(pieces)
+        model, rest = self.tokenizer.model, []
+        for i, piece in enumerate(pieces):
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isalpha() and len(piece) < 64 and max(word) < "\u0100":
+                found[i] = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(self.spelling))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        for key, ids in zip(keys, found, strict=True):
             end = self.at[-1] + len(ids)
             if end > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
@@ -251,6 +278,23 @@ class Encoder:
         return out, counts
 
 
+def byte_spelling() -> dict[int, str]:
+    """How a byte-level vocabulary spells each byte: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
+
+
+def worker_encoder(tokenizer: str) -> Encoder:
+    """The encoder of this Python worker, which Spark reuses for many tasks."""
+    import sys
+
+    kept = vars(sys).setdefault("_etlscope_encoders", {})
+    if tokenizer not in kept:
+        kept[tokenizer] = Encoder(tokenizer)
+    return kept[tokenizer]
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: int = 8, block: int = BLOCK) -> None:
     """Tokenise ``docs(doc_id, text)`` and write shards in ascending doc_id order; shard number = partition."""
 
@@ -260,7 +304,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: int = 8, bl
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, writer = Encoder(tokenizer), Writer(TaskContext.get().partitionId(), kind, block)
+        encoder, writer = worker_encoder(tokenizer), Writer(TaskContext.get().partitionId(), kind, block)
         line = lambda parts: pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["line"])
         yield line([writer.start()])
         for batch in batches:
