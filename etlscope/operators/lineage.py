@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import short_name
+from ..plans.cut import cut
 from ..plans.facts import priority
 
 MAX_DEPTH = 15
@@ -24,7 +25,7 @@ def physical_sources(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     twice, so cycles end.  transform is the heaviest on the path; depth the shortest path.
     """
     written = edges.select(F.col("to_table").alias("from_table")).distinct().withColumn("inner", F.lit(True))
-    e = edges.join(written, "from_table", "left").select("to_table", "to_field", "from_table", "from_field", priority(F.col("transform")).alias("rank"), F.coalesce("inner", F.lit(False)).alias("inner")).distinct()
+    e = cut(edges.join(written, "from_table", "left").select("to_table", "to_field", "from_table", "from_field", priority(F.col("transform")).alias("rank"), F.coalesce("inner", F.lit(False)).alias("inner")).distinct())  # read once a level
     node = lambda t, f: F.concat_ws(".", t, f)
     path = e.select(F.col("to_table").alias("table"), F.col("to_field").alias("field"), F.col("from_table").alias("at_table"), F.col("from_field").alias("at_field"), "rank", "inner", F.array(node("to_table", "to_field"), node("from_table", "from_field")).alias("path"), F.lit(1).alias("depth"))
     done, level = path.where("not inner"), path.where("inner")
@@ -35,6 +36,7 @@ def physical_sources(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             "table", "field", F.col("n_table").alias("at_table"), F.col("n_field").alias("at_field"), F.greatest("rank", "n_rank").alias("rank"), F.col("n_inner").alias("inner"),
             F.concat("path", F.array(node("n_table", "n_field"))).alias("path"), (F.col("depth") + 1).alias("depth"),
         )
+        level = cut(level)
         if level.isEmpty():
             break
         done = done.unionByName(level.where("not inner"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import full_name, short_name
+from ..plans.cut import cut
 from ..plans.facts import FactTables, output_columns, usages
 
 
@@ -44,7 +45,7 @@ def upstream(edges: DataFrame, start: str, max_depth: int = 6) -> DataFrame:
     spark = edges.sparkSession
     seen = level = spark.createDataFrame([(start, 0)], "group_code string, depth int")
     for _ in range(max_depth):
-        level = level.join(edges, F.col("group_code") == F.col("reader")).select(F.col("writer").alias("group_code"), (F.col("depth") + 1).alias("depth")).distinct().join(seen.select("group_code"), "group_code", "left_anti")
+        level = cut(level.join(edges, F.col("group_code") == F.col("reader")).select(F.col("writer").alias("group_code"), (F.col("depth") + 1).alias("depth")).distinct().join(seen.select("group_code"), "group_code", "left_anti"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

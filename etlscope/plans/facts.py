@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import short_name
+from .cut import cut
 from .frontend import PRIORITY, parse
 
 RULE = """rule_code string, rule_name string, rule_type int, exec_sequence int, target_schema string, target_table string, delete_mode string,
@@ -53,7 +54,8 @@ def extract(spark: SparkSession, rules: DataFrame, threads: int = 4) -> FactTabl
         f = parsed[r["query_sql"]]
         for name in out:
             out[name] += [(r["rule_code"], *x) for x in ([f.status] if name == "status" else getattr(f, name))]
-    frames = {name: spark.createDataFrame(x, SCHEMAS[name]).coalesce(1) if x else spark.createDataFrame([], SCHEMAS[name]) for name, x in out.items()}
+    # thousands of rows at most: one partition each
+    frames = {name: cut(spark.createDataFrame(x, SCHEMAS[name]).coalesce(1)) for name, x in out.items()}
     return FactTables(rules, **frames)
 
 
@@ -110,11 +112,14 @@ def field_edges(facts: FactTables, max_depth: int = MAX_DEPTH) -> DataFrame:
     roots = step.where(F.col("scope") == 1).select("rule_code", "branch", "output", priority(F.col("transform")).alias("rank"), "kind", "table", "field", "child", F.lit(1).alias("depth"))
     inner = step.select("rule_code", F.col("scope").alias("child"), F.col("output").alias("field"), priority(F.col("transform")).alias("rank2"), F.col("kind").alias("kind2"), F.col("table").alias("table2"), F.col("field").alias("field2"), F.col("child").alias("child2"))
     done, level = roots.where("child is null"), roots.where("child is not null")
-    nested = (facts.scopes.agg(F.max("scope")).first()[0] or 1) - 1  # a chain of CTEs passes each scope once
-    for _ in range(min(max_depth, nested)):
+    inner = cut(inner)  # column references of a rule catalog, read once a level
+    for _ in range(max_depth):
         level = level.join(inner, ["rule_code", "child", "field"]).select(
             "rule_code", "branch", "output", F.greatest("rank", "rank2").alias("rank"), F.col("kind2").alias("kind"), F.col("table2").alias("table"), F.col("field2").alias("field"), F.col("child2").alias("child"), (F.col("depth") + 1).alias("depth")
         )
+        level = cut(level)
+        if level.isEmpty():
+            break
         done = done.unionByName(level.where("child is null"))
         level = level.where("child is not null")
     names = F.lit("unknown")
