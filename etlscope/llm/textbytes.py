@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time, and bytes of text handled as one group of documents.
-SLAB = 1 << 22
+SLAB = 1 << 20
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)

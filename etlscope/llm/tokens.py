@@ -43,7 +43,7 @@ from .util import new_folder
 MAGIC = b"BPSHUF01"
 BLOCK = 1 << 16
 END_ID = 2
-CACHE = 400_000  # pieces
+CACHE = 150_000  # pieces
 _HEADER, _FOOTER = "<8sIII", "<6Q8s"
 
 
