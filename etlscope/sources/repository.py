@@ -15,7 +15,7 @@ _NOT_COLUMNS = {"primary", "unique", "constraint", "foreign", "partition", "key"
 
 
 def _texts(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    return spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
 
 
 def _split(text: str, by: str) -> list[str]:

@@ -102,7 +102,7 @@ def read_yml(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     import yaml
 
     rules, fields, variables = [], [], []
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.yml").text(folder).select("value", F.col("_metadata.file_path").alias("p")).orderBy("p").collect()
+    files = spark.read.option("pathGlobFilter", "*.yml").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("p")).orderBy("p").collect()
     for f in files:
         doc = yaml.safe_load(f["value"]) or {}
         extra = next((v for k, v in doc.items() if str(k).startswith(EXTRA)), None) or {}
