@@ -76,7 +76,7 @@ def rake(codes: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray], sweep
     for _ in range(sweeps):
         error = 0.0
         for d, share in enumerate(targets):
-            have = np.bincount(codes[:, d], tokens * weight, len(share))
+            have = np.bincount(codes[:, d], tokens * weight, len(share)).astype(float)
             ratio = np.divide(share * total, have, out=np.ones_like(have), where=have > 0)
             error = max(error, float(np.abs(have / total - share)[have > 0].max(initial=0)))
             weight = weight * ratio[codes[:, d]]
