@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import short_name
-from ..plans.prepass import query_of
+from ..plans.prepass import query_of, text_of, tokens
 
 DDL = "table string, column string, type string, comment string, nullable boolean, default_value string, is_pk boolean"
 _NOT_COLUMNS = {"primary", "unique", "constraint", "foreign", "partition", "key", "check"}
@@ -65,6 +65,11 @@ def _body(text: str, start: int) -> str:
     return text[start + 1 :]
 
 
+def _comments(text: str) -> list[str]:
+    """The texts of comments outside of literals."""
+    return [t.text[2:].removesuffix("*/").strip() for t in tokens(text) if t.kind == "comment"]
+
+
 def parse_ddl(text: str) -> list[tuple]:
     """Column rows (schema DDL) of every CREATE TABLE in a text; COMMENT ON COLUMN wins over inline comments."""
     said = {}
@@ -77,13 +82,13 @@ def parse_ddl(text: str) -> list[tuple]:
         items = _split(_body(text, m.end() - 1), ",")
         for n, item in enumerate(items):
             ahead = re.match(r"[ \t]*(?:--\s*([^\n]*)|/\*(.*?)\*/[ \t]*(?=\n))", items[n + 1]) if n + 1 < len(items) else None  # a comment behind the comma
-            inline = re.findall(r"/\*(.*?)\*/|--\s*([^\n]*)", re.sub(r"^[ \t]*--[^\n]*\n", "", item) if n else item, re.S)
-            bare = re.sub(r"/\*.*?\*/|--[^\n]*", " ", item, flags=re.S).strip()
+            said_here = _comments(re.sub(r"^[ \t]*--[^\n]*\n", "", item) if n else item)
+            bare = text_of([t for t in tokens(item) if t.kind != "comment"]).strip()
             head = re.match(r"[\"`]?(\w+)[\"`]?\s+((?:character\s+varying|double\s+precision|timestamp\s+without\s+time\s+zone|\w+)(?:\s*\([^)]*\))?)", bare, re.I)
             if not head or head[1].lower() in _NOT_COLUMNS:
                 continue
             default = re.search(r"\bDEFAULT\s+('(?:[^']|'')*'|[\w.]+(?:\(\))?)", bare, re.I)
-            comment = (ahead[1] or ahead[2]) if ahead else next((a or b for a, b in inline), "")
+            comment = (ahead[1] or ahead[2]) if ahead else next(iter(said_here), "")
             comment = said.get((table, head[1].lower()), comment.strip())
             pk = bool(re.search(r"\bPRIMARY\s+KEY\b", bare, re.I))
             out.append((table, head[1].lower(), re.sub(r"\s+", " ", head[2]).lower(), comment, not (pk or re.search(r"\bNOT\s+NULL\b", bare, re.I)), default[1] if default else None, pk))
