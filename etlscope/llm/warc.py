@@ -242,5 +242,5 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
-    write_archives(pages, folder)
+    write_archives(pages, folder, compression="gzip")
     return read_archives(spark, folder)
