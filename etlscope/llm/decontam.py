@@ -271,9 +271,8 @@ def judge(found: DataFrame) -> DataFrame:
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = judge(matches(docs, benchmark))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated",
-        F.col("longest").alias("longest_match"), F.col("longest_item").alias("longest_match_item"),
-    )
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:

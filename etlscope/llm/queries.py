@@ -74,5 +74,30 @@ FROM p LEFT JOIN g ON payload_digest = d AND payload_bytes >= 1000
 """
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+k AS (SELECT rid, p, word, CASE WHEN count(*) OVER w = 35 THEN string_agg(word, ' ') OVER w END AS win FROM t WINDOW w AS (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+c AS (SELECT rid, p, word, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 THEN 1 ELSE 0 END AS rep FROM k),
+g AS (SELECT rid, p, word, max(rep) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+a AS (SELECT rid, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM g GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (rid)
+"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bs AS (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS t FROM bs),
+t AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+k AS (SELECT rid, p, list(word) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS nx FROM t),
+h AS (SELECT rid, p, bw.n, item_id FROM k JOIN (SELECT DISTINCT n FROM bw) m ON len(nx) >= m.n JOIN bw ON bw.n = m.n AND bw.t = array_to_string(nx[1:m.n], ' ')),
+i AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY rid),
+c AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN i USING (rid) LEFT JOIN c USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op10_benchmark_decontamination": OP10_SQL}

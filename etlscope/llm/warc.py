@@ -243,4 +243,4 @@ def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     write_archives(pages, folder, compression="gzip")
-    return read_archives(spark, folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
