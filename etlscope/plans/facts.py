@@ -55,7 +55,7 @@ def extract(spark: SparkSession, rules: DataFrame, threads: int = 4) -> FactTabl
         for name in out:
             out[name] += [(r["rule_code"], *x) for x in ([f.status] if name == "status" else getattr(f, name))]
     # thousands of rows at most: one partition each
-    frames = {name: cut(spark.createDataFrame(x, SCHEMAS[name]).coalesce(1)) for name, x in out.items()}
+    frames = {name: spark.createDataFrame(x, SCHEMAS[name]).coalesce(1) for name, x in out.items()}
     return FactTables(rules, **frames)
 
 
