@@ -33,7 +33,7 @@ from .util import materialize
 
 WINDOW, GRAM = 35, 8
 GROUP_BYTES = 2 << 20
-BUCKET_BYTES = 24 << 20  # text per bucket of the hash space
+BUCKET_BYTES = 12 << 20  # text per bucket of the hash space
 
 _HASH = np.dtype([("h", "<u8"), ("g", "<u4")])
 
@@ -87,6 +87,7 @@ def anchor_hashes(words: tb.Words, window: int, gram: int) -> tuple[np.ndarray,
     An anchor that serves windows at several starts of one place is one occurrence.
     """
     anchor, grams = winnow(words, window, gram)
+    grams = tb.mix(grams)  # anchors are least values: spread them over the hash space before they are dealt to buckets
     places = np.unique(anchor[anchor >= 0])
     found, several = distinct_hashes(grams[places], np.zeros(len(places), np.uint32))
     return anchor, grams, found, several

@@ -39,7 +39,8 @@ def alnum_class() -> np.ndarray:
     return word
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads them evenly."""
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -128,7 +129,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTE[data[lo:hi]] * power[: hi - lo], out=sums[1:])
         s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = _mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
         i = j
     return out
 
@@ -141,7 +142,7 @@ def grams(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     power, inverse = _powers(_Q[which], n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * power[:n], out=sums[1:])
-    return _mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
+    return mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
 
 
 def groups(offsets: np.ndarray, size: int = SLAB) -> Iterator[tuple[int, int]]:
