@@ -175,6 +175,27 @@ leaf AS (SELECT tt, tf, st, sf, max(rk) AS rk, min(d) AS d FROM flow WHERE st NO
 RANK_NAME = "['unknown','value','direct','expression','fallback','case_when','aggregate','pivot','window'][{} + 2]"
 
 
+def _family_sql(c: str) -> str:
+    base = f"trim(regexp_extract(lower({c}), '^[a-z0-9 ]+'))"
+    return "CASE " + " ".join(f"WHEN {base} IN ({', '.join(repr(x) for x in spellings)}) THEN '{family}'" for family, spellings in names.FAMILIES.items()) + " ELSE 'unknown' END"
+
+
+def _compatible_sql(s: str, t: str) -> str:
+    """The type compatibility rule in standard SQL, over two columns of type text."""
+    length = lambda c: f"TRY_CAST(regexp_extract({c}, '\\(\\s*(\\d+)', 1) AS INT)"
+    scale = lambda c: f"TRY_CAST(regexp_extract({c}, ',\\s*(\\d+)', 1) AS INT)"
+    digits = f"CASE WHEN {s} = 'bigint' THEN 19 WHEN {s} = 'smallint' THEN 5 WHEN {s} = 'tinyint' THEN 3 ELSE 10 END"
+    sf, tf, sl, tl = _family_sql(s), _family_sql(t), length(s), length(t)
+    return (
+        f"CASE WHEN ({sf}) = 'integer' AND ({tf}) = 'integer' THEN true WHEN ({sf}) = 'integer' AND ({tf}) = 'numeric' THEN {tl} IS NULL OR {tl} >= coalesce({sl}, {digits}) WHEN ({sf}) <> ({tf}) THEN false "
+        f"WHEN {tl} IS NULL OR {sl} IS NULL THEN true WHEN ({sf}) = 'varchar' THEN {tl} >= {sl} WHEN ({sf}) = 'numeric' THEN {tl} >= {sl} AND coalesce({scale(t)} >= {scale(s)}, true) ELSE true END"
+    )
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
 class Analysis:
     """The catalog's facts and what most operators need of them; built once a session."""
 
@@ -229,6 +250,11 @@ def _meta(f: Callable[[Analysis], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(_analysis(spark))
 
 
+TYPE_GRID = [
+    ("varchar(10)", "varchar(20)"), ("varchar(20)", "varchar(10)"), ("int", "bigint"), ("bigint", "int"), ("int", "numeric(10,0)"), ("int", "numeric(9,0)"), ("bigint", "numeric(18,0)"), ("bigint", "numeric(19,0)"), ("smallint", "numeric(5)"),
+    ("numeric(10,2)", "numeric(12,2)"), ("numeric(10,2)", "numeric(12,1)"), ("numeric(12,2)", "numeric(10,2)"), ("int", "varchar(10)"), ("text", "varchar(10)"), ("character varying(30)", "nvarchar2(30)"), ("date", "timestamp"), ("date", "text"), ("boolean", "bool"),
+]
+
 META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
     "b20_steps": (lambda a: a.step.select("step_id", "rule_code", "rule_type", "exec_sequence", "target", "exchanged", "group_code"), FACTS + "SELECT step_id, rule_code, rule_type, seq AS exec_sequence, target, exchanged, grp AS group_code FROM step"),
     "b20_step_tables": (lambda a: a.read.select("step_id", "source"), FACTS + "SELECT step_id, source FROM reads"),
@@ -300,14 +326,11 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
     ),
     "b45_type_checks": (
         lambda a: quality.type_checks(a.edges, a.step, a.ddl),
-        "SELECT * FROM (VALUES ('r02','cust_id','customer','c_custkey','bigint','bigint',true),('r02','cust_name','customer','c_name','varchar(25)','varchar(25)',true),('r02','region_id','nation','n_regionkey','int','int',true),"
-        "('r03','cust_id','tmp_cust_base','cust_id','bigint','bigint',true),('r03','cust_name','tmp_cust_base','cust_name','varchar(25)','varchar(10)',false),('r03','nation','tmp_cust_base','nation','varchar(25)','varchar(30)',true),('r03','region_id','tmp_cust_base','region_id','int','smallint',true),"
-        "('r05','cust_id','customer','c_custkey','bigint','bigint',true),('r05','cust_name','customer','c_name','varchar(25)','varchar(10)',false),('r05','region_id','customer','c_nationkey','int','smallint',true),"
-        "('r07','region_id','dwb_customer_rev_f','region_id','smallint','int',true)) t(rule_code, output, source_table, source_field, source_type, target_type, compatible)",
+        FACTS + f", ddl(t, c, k) AS (VALUES {_values(catalog.DDL)}) SELECT DISTINCT rule_code, tf AS output, st AS source_table, sf AS source_field, a.k AS source_type, b.k AS target_type, {_compatible_sql('a.k', 'b.k')} AS compatible FROM edges JOIN ddl a ON a.t = st AND a.c = sf JOIN ddl b ON b.t = tt AND b.c = tf WHERE rk = 1",
     ),
     "b48_constants": (
         lambda a: quality.constant_checks(a.facts, a.step, a.ddl),
-        "SELECT * FROM (VALUES ('r03','del_flag','varchar(1)','varchar(1)',true),('r05','nation','varchar(4)','varchar(30)',true),('r05','total_rev','integer','numeric(18,2)',true)) t(rule_code, output, constant, target_type, compatible)",
+        f"WITH ddl(t, c, k) AS (VALUES {_values(catalog.DDL)}), x(rule_code, output, constant) AS (VALUES ('r03','del_flag','varchar(1)'), ('r05','nation','varchar(4)'), ('r05','total_rev','integer')) SELECT rule_code, output, constant, k AS target_type, {_compatible_sql('constant', 'k')} AS compatible FROM x JOIN ddl ON t = 'dwb_customer_rev_f' AND c = output",
     ),
     "b61_table_impact": (
         lambda a: impact.table_status(a.table_changes, a.read, a.strategy, a.step),
@@ -345,18 +368,13 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
     ),
     "b46_type_grid": (
         lambda a: a.spark.createDataFrame(TYPE_GRID, "s string, t string").select("s", "t", names.compatible(F.col("s"), F.col("t")).alias("ok")),
-        "WITH x(s, t, ok) AS (VALUES ('varchar(10)','varchar(20)',true),('varchar(20)','varchar(10)',false),('int','bigint',true),('bigint','int',true),('int','numeric(10,0)',true),('int','numeric(9,0)',false),('bigint','numeric(18,0)',false),('bigint','numeric(19,0)',true),('smallint','numeric(5)',true),"
-        "('numeric(10,2)','numeric(12,2)',true),('numeric(10,2)','numeric(12,1)',false),('numeric(12,2)','numeric(10,2)',false),('int','varchar(10)',false),('text','varchar(10)',true),('character varying(30)','nvarchar2(30)',true),('date','timestamp',true),('date','text',false),('boolean','bool',true)) SELECT * FROM x",
+        f"WITH x(s, t) AS (VALUES {_values(TYPE_GRID)}) SELECT s, t, {_compatible_sql('s', 't')} AS ok FROM x",
     ),
     "b12_names": (
         lambda a: a.spark.createDataFrame([(x,) for x in NAME_GRID], "n string").select("n", names.short_name(F.col("n")).alias("short"), names.is_intermediate(F.col("n")).alias("inter"), names.layer(F.col("n")).alias("layer")),
         "SELECT * FROM (VALUES ('DWS.Tmp1','tmp1',true,'DWS'),('x_tmp2','x_tmp2',true,'UNKNOWN'),('tmp_x','tmp_x',true,'TMP'),('a_temp_b','a_temp_b',true,'UNKNOWN'),('s.a_mid_f','a_mid_f',false,'UNKNOWN'),('ods.orders','orders',false,'ODS'),('x.dim_date','dim_date',false,'DIM'),('x.dwd_a','dwd_a',false,'DWB'),('rpt.a','a',false,'ADS'),('tempo','tempo',false,'UNKNOWN')) t(n, short, inter, layer)",
     ),
 }
-TYPE_GRID = [
-    ("varchar(10)", "varchar(20)"), ("varchar(20)", "varchar(10)"), ("int", "bigint"), ("bigint", "int"), ("int", "numeric(10,0)"), ("int", "numeric(9,0)"), ("bigint", "numeric(18,0)"), ("bigint", "numeric(19,0)"), ("smallint", "numeric(5)"),
-    ("numeric(10,2)", "numeric(12,2)"), ("numeric(10,2)", "numeric(12,1)"), ("numeric(12,2)", "numeric(10,2)"), ("int", "varchar(10)"), ("text", "varchar(10)"), ("character varying(30)", "nvarchar2(30)"), ("date", "timestamp"), ("date", "text"), ("boolean", "bool"),
-]
 NAME_GRID = ("DWS.Tmp1", "x_tmp2", "tmp_x", "a_temp_b", "s.a_mid_f", "ods.orders", "x.dim_date", "x.dwd_a", "rpt.a", "tempo")
 
 # --- usage analytics -------------------------------------------------------------------------------------------------
