@@ -125,9 +125,14 @@ def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that near_duplicates keeps: one of each group."""
-    kept = near_duplicates(docs, **options).where("keep").select(F.col("doc_id").alias("_nd_id"), F.col("text_hash").alias("_nd_hash"))
+def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each (doc_id, text_hash) of ``kept``."""
+    kept = kept.select(F.col("doc_id").alias("_nd_id"), F.col("text_hash").alias("_nd_hash"))
     own = docs.withColumn("_nd_own", F.xxhash64("text"))
     joined = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_nd_id")) & (F.col("_nd_own") == F.col("_nd_hash")))
     return joined.dropDuplicates(["doc_id", "_nd_own"]).select(*[docs[c] for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that near_duplicates keeps: one of each group."""
+    return rows_kept(docs, near_duplicates(docs, **options).where("keep"))

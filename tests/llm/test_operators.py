@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from etlscope.llm import chat, components, decontam, fingerprint, learning, mixing, neardup, quality, queries, simhash, substring, tokens, toxicity, util, warc
+from etlscope.llm import chat, components, decontam, fingerprint, learning, mixing, neardup, quality, queries, simhash, similar, substring, tokens, toxicity, util, warc
 
 SF = "/root/testdata/sf0.001"
 SPACE, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -98,6 +98,61 @@ def test_keep_one(odd):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 4, 5, 6]
 
 
+def shingles5(text):
+    w = SPACE.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+@pytest.fixture(scope="module")
+def edited(spark):
+    """Texts of 20 to 400 words with copies in which a few words are replaced, some just above and some below 0.8."""
+    random.seed(11)
+    texts = []
+    for _ in range(60):
+        base = [f"w{random.randrange(5000)}" for _ in range(random.choice([20, 60, 150, 400]))]
+        texts.append(" ".join(base))
+        for n in (1, len(base) // 60, len(base) // 50, len(base) // 40, len(base) // 25):
+            copy = list(base)
+            for at in random.sample(range(len(base)), n):
+                copy[at] = f"x{random.randrange(5000)}"
+            texts.append(" ".join(copy))
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_stage_links_all_of_similarity(edited, spark, crowd):
+    import corpus_pipeline
+
+    sets = [shingles5(t) for _, t in sorted(ids_texts(edited))]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            if i // 6 == j // 6 and jaccard(sets[i], sets[j]) >= 0.8:
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+    want = {i for i in range(len(sets)) if find(i) == i}
+    assert len(want) < 0.7 * len(sets)
+    got = {r[0] for r in (corpus_pipeline.near_dedup(spark, edited, SF) if crowd == 32 else similar.keep_one(edited, crowd=crowd)).select("doc_id").collect()}
+    assert want <= got and len(got - want) <= 0.01 * len(sets)
+
+
+def test_stage_odd_rows(spark, odd):
+    kept = similar.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 4, 5, 6]
+    assert similar.keep_one(odd.limit(0)).isEmpty()
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (3, 2)]
     got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
