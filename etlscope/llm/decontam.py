@@ -248,10 +248,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     """
     items, total = _items(benchmark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    if total > block_bytes:
+        rows = materialize(rows, "decontam-rows")
+    return _matches(rows, items, total, window, block_bytes).drop("rid")
+
+
+def _matches(rows: DataFrame, items: DataFrame, total: int, window: int, block_bytes: int) -> DataFrame:
+    """What ``matches`` gives and rid, per row of ``rows(rid, doc_id, text)``; with several blocks, rids must be stored ones."""
     if total <= block_bytes:
-        return _scan(rows, [tuple(r) for r in items.collect()], window).drop("rid")
+        return _scan(rows, [tuple(r) for r in items.collect()], window)
     n = -(-total // block_bytes)
-    rows = materialize(rows, "decontam-rows")
     parts = [_scan(rows, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()], window) for b in range(n)]
     union = parts[0]
     for part in parts[1:]:
@@ -259,7 +265,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     merge = F.udf(_union_spans, SPAN)
     best = F.max(F.struct("longest", "longest_at", "longest_item")).alias("best")
     merged = union.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best)
-    return merged.select("doc_id", "n_words", merge("spans").alias("spans"), "items", "best.longest", "best.longest_at", "best.longest_item")
+    return merged.select("rid", "doc_id", "n_words", merge("spans").alias("spans"), "items", "best.longest", "best.longest_at", "best.longest_item")
 
 
 def judge(found: DataFrame) -> DataFrame:
@@ -283,13 +289,15 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated.
 
-    With a benchmark of one block rows are filtered where they are; else by an anti-join on doc_id, in which rows
-    of equal id share their fate.
+    With a benchmark of one block rows are filtered where they are; else by an anti-join on stored row ids.  Each row
+    is judged by its own text either way.
     """
     items, total = _items(benchmark)
     if total > block_bytes:
-        bad = judge(matches(docs, benchmark, window, block_bytes)).where("contaminated").select(F.col("doc_id").alias("_dc_id")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_dc_id")), "left_anti")
+        own = materialize(docs.withColumn("_dc_rid", F.monotonically_increasing_id()), "decontam-docs")
+        found = _matches(own.select(F.col("_dc_rid").alias("rid"), "doc_id", "text"), items, total, window, block_bytes)
+        bad = judge(found).where("contaminated").select(F.col("rid").alias("_dc_rid"))
+        return own.join(bad, "_dc_rid", "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
     place = docs.columns.index("text")
 

@@ -239,6 +239,18 @@ def test_decontamination(spark, request, which):
     assert kept.columns == df.columns and rows(kept, "doc_id") == sorted(((r[0],) for r in want if not r[5]), key=str)
 
 
+def test_removal_in_blocks_judges_rows_by_their_own_text(spark):
+    passages = [" ".join(f"p{i}w{k}" for k in range(20)) for i in range(6)]
+    bench = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    texts = [(1, passages[0]), (1, "clean one"), (None, passages[4]), (None, "clean two"), (None, None), (2, passages[5]), (2, "clean three"), (2, "clean three"), (3, "")]
+    df = spark.createDataFrame([(i, t, f"s{k}") for k, (i, t) in enumerate(texts)], "doc_id long, text string, source string")
+    whole = decontam.remove_contaminated(df, bench)
+    assert whole.count() == 6
+    for size in (200, 400):
+        parts = decontam.remove_contaminated(df, bench, block_bytes=size)
+        assert parts.columns == df.columns and rows(parts, "*") == rows(whole, "*")
+
+
 def test_decontamination_of_few_words(spark):
     random.seed(4)
     texts = [(i, random.choice([None, "", "!!", " ".join(random.choices(["a", "B", "é", "c1"], k=random.randint(1, 60)))])) for i in range(150)]
