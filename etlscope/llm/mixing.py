@@ -10,7 +10,8 @@ Unless given, targets are the corpus's own token shares, tempered (raised to ``S
 buckets) from which most of a document's words come.
 
 Text never leaves its task: only cells are shuffled, after map-side sums.  Up to ``MAX_CELLS`` cells (a few MB) are
-raked on the driver and joined back by broadcast; more are raked as a DataFrame, one written table per sweep.
+raked on the driver and joined back by broadcast; more are raked as a DataFrame, written in every sweep.  Both stop at
+``TOLERANCE`` or after ``SWEEPS``, and warn if targets are then not met.
 
 Edge cases: null source or language is a category of its own; empty and null texts have no tokens, topic 0 and their
 cell's probability (the common rate where the cell has no tokens); rows of equal id share their fate; targets for
@@ -19,6 +20,9 @@ absent categories are spread over the present ones; an empty table gives an empt
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -85,6 +89,12 @@ def rake(codes: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray], sweep
     return weight, error
 
 
+def report(error: float) -> None:
+    """Warn of targets that raking did not meet."""
+    if error >= TOLERANCE:
+        warnings.warn(f"raking stopped after {SWEEPS} sweeps with marginal shares off by up to {error:.3g}", stacklevel=2)
+
+
 def common_rate(tokens: np.ndarray, weight: np.ndarray, budget: float) -> float:
     """The rate for which the sum of tokens * min(1, rate * weight) is the budget; exact, by sorting."""
     live = (tokens > 0) & (weight > 0)
@@ -113,13 +123,28 @@ def _driver_plan(cells: list, targets: dict[str, dict[str, float]] | None, keep_
         wanted = (targets or {}).get(name) or tempered(sums, POWERS[name])
         share = np.array([wanted.get(v, 0.0) if sums[v] > 0 else 0.0 for v in values])
         shares.append(share / share.sum() if share.sum() else share)
-    weight, _ = rake(codes, tokens, shares)
+    weight, error = rake(codes, tokens, shares)
+    report(error)
     rate = common_rate(tokens, weight, keep_share * tokens.sum())
     p = np.minimum(1, rate * np.where(tokens > 0, weight, 1.0))
     return [(*[c[n] for n in DIMENSIONS], float(w), float(x)) for c, w, x in zip(cells, weight, p, strict=True)]
 
 
-def _table_plan(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep_share: float, sweeps: int = 30) -> DataFrame:
+def _table_rate(live: DataFrame, budget: float) -> float:
+    """common_rate of (tokens, weight) as a DataFrame: each step puts more cells at probability 1, until none is added."""
+    tokens, least = live.agg(F.sum("tokens"), F.min("weight")).first()
+    if tokens is None or budget >= tokens:
+        return 1 / least if least else 1.0
+    rate, at_one = 0.0, -1
+    while True:
+        sure = rate * F.col("weight") > 1
+        n, full, open_ = live.agg(F.count_if(sure), F.sum(F.when(sure, F.col("tokens"))), F.sum(F.when(~sure, F.col("tokens") * F.col("weight")))).first()
+        if n == at_one or not open_:
+            return rate
+        rate, at_one = (budget - (full or 0)) / open_, n
+
+
+def _table_plan(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep_share: float, sweeps: int = SWEEPS) -> DataFrame:
     """The same as a DataFrame, for any number of cells."""
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -132,23 +157,21 @@ def _table_plan(cells: DataFrame, targets: dict[str, dict[str, float]] | None, k
             share = cells.groupBy(name).agg(F.sum("tokens").alias("t")).where("t > 0").select(name, F.pow("t", F.lit(POWERS[name])).alias("share"))
         mass = share.agg(F.sum("share")).first()[0] or 1.0
         wanted[name] = materialize(share.select(name, (F.col("share") / mass).alias("share")), "targets")
-    plan = cells.withColumn("weight", F.lit(1.0))
+    plan, error = cells.withColumn("weight", F.lit(1.0)), 0.0
     for _ in range(sweeps):
-        error = 0.0
+        offs = []
         for name in DIMENSIONS:
             have = plan.groupBy(name).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have")).join(wanted[name], name)
             have = materialize(have.where("have > 0").select(name, (F.col("share") * total / F.col("have")).alias("ratio"), F.abs(F.col("have") / total - F.col("share")).alias("off")), "marginals")
-            error = max(error, have.agg(F.max("off")).first()[0] or 0.0)
+            offs.append(have.select("off"))
             plan = plan.join(have.drop("off"), name, "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).drop("ratio")
         plan = materialize(plan, "raked")
-        if error < 1e-6:
+        error = reduce(DataFrame.unionByName, offs).agg(F.max("off")).first()[0] or 0.0
+        if error < TOLERANCE:
             break
-    low, high, budget = 0.0, float(plan.where("tokens > 0 and weight > 0").agg(F.max(1 / F.col("weight"))).first()[0] or 1.0), keep_share * total
-    for _ in range(50):  # bisection; each step is one aggregate over cells
-        mid = (low + high) / 2
-        got = plan.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), mid * F.col("weight")))).first()[0] or 0.0
-        low, high = (mid, high) if got < budget else (low, mid)
-    return plan.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), high * F.when(F.col("tokens") > 0, F.col("weight")).otherwise(1.0)).alias("probability"))
+    report(error)
+    rate = _table_rate(plan.where("tokens > 0 and weight > 0"), keep_share * total)
+    return plan.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), rate * F.when(F.col("tokens") > 0, F.col("weight")).otherwise(1.0)).alias("probability"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep_share: float = KEEP_SHARE, topic: Column | None = None, seed: int = 8, max_cells: int = MAX_CELLS) -> DataFrame:

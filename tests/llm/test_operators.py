@@ -414,6 +414,27 @@ def test_mixing_of_many_cells_agrees(docs):
     assert max(abs(a[k] - b[k]) for k in a) < 1e-2
 
 
+def test_mixing_of_sparse_cells_agrees(spark):
+    """Sources of one language each but for a few words: raking needs more than 30 sweeps."""
+    cells = []
+    for i in range(8):
+        cells.append((f"s{i}", f"l{i % 2}", "t", 1000 + 300 * i))
+        if i % 3 == 0:
+            cells.append((f"s{i}", f"l{(i + 1) % 2}", "t", 150))
+    df = spark.createDataFrame(cells, "_mix_source string, _mix_lang string, _mix_topic string, tokens long")
+    few = {x[:3]: x[3:] for x in mixing._driver_plan(df.collect(), None, 0.8)}
+    many = {tuple(r)[:3]: tuple(r)[3:] for r in mixing._table_plan(df, None, 0.8).collect()}
+    assert few.keys() == many.keys() and all(many[k] == pytest.approx(few[k], rel=1e-6) for k in few)
+
+
+def test_mixing_warns_of_targets_not_met(spark):
+    cells = [("a", "x", "t", 100), ("b", "y", "t", 100)]  # a source is a language: these shares cannot both hold
+    targets = {"_mix_source": {"a": 0.9, "b": 0.1}, "_mix_lang": {"x": 0.2, "y": 0.8}}
+    df = spark.createDataFrame(cells, "_mix_source string, _mix_lang string, _mix_topic string, tokens long")
+    with pytest.warns(UserWarning, match="off by up to 0.7"):
+        mixing._driver_plan(df.collect(), targets, 0.8)
+
+
 def test_mixing_odd_rows(odd):
     assert mixing.query(odd).count() == len(ODD) and mixing.sample(odd).columns == odd.columns
 
