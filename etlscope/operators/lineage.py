@@ -9,8 +9,6 @@ from ..functions.names import short_name
 from ..plans.cut import cut
 from ..plans.facts import priority
 
-MAX_DEPTH = 15
-
 
 def step_edges(edges: DataFrame, step: DataFrame) -> DataFrame:
     """(to_table, to_field, from_table, from_field, transform, step_id): field edges with short table names."""
@@ -18,7 +16,7 @@ def step_edges(edges: DataFrame, step: DataFrame) -> DataFrame:
     return joined.select(short_name(F.col("target")).alias("to_table"), F.col("output").alias("to_field"), short_name(F.col("source_table")).alias("from_table"), F.col("source_field").alias("from_field"), "transform", "step_id").distinct()
 
 
-def physical_sources(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def physical_sources(edges: DataFrame) -> DataFrame:
     """(table, field, source_table, source_field, transform, depth): every table that no step writes, per field.
 
     ``edges`` as from step_edges.  One join a level, each on both sides of an equi key; a path never visits a field
@@ -30,7 +28,7 @@ def physical_sources(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     path = e.select(F.col("to_table").alias("table"), F.col("to_field").alias("field"), F.col("from_table").alias("at_table"), F.col("from_field").alias("at_field"), "rank", "inner", F.array(node("to_table", "to_field"), node("from_table", "from_field")).alias("path"), F.lit(1).alias("depth"))
     done, level = path.where("not inner"), path.where("inner")
     nxt = e.select(F.col("to_table").alias("at_table"), F.col("to_field").alias("at_field"), F.col("from_table").alias("n_table"), F.col("from_field").alias("n_field"), F.col("rank").alias("n_rank"), F.col("inner").alias("n_inner"))
-    for _ in range(max_depth):
+    while True:
         level = level.join(nxt, ["at_table", "at_field"]).where(~F.array_contains("path", node("n_table", "n_field")))
         level = level.select(
             "table", "field", F.col("n_table").alias("at_table"), F.col("n_field").alias("at_field"), F.greatest("rank", "n_rank").alias("rank"), F.col("n_inner").alias("inner"),

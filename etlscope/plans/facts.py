@@ -29,7 +29,6 @@ SCHEMAS = {
 }
 #: Rule types whose SQL is parsed; those skipped on read; that hold variables.
 SELECT_TYPES, SKIPPED_TYPES, VARIABLE_TYPE = (1, 14), (10, 11, 13, 15), 12
-MAX_DEPTH = 10
 
 
 @dataclass
@@ -98,25 +97,28 @@ def column_links(facts: FactTables) -> DataFrame:
     return src.join(refs, ["rule_code", "scope", "alias"], "left").select("rule_code", F.col("scope").alias("leaf"), "position", "ord", "alias", "field", "kind", "table", "child")
 
 
-def field_edges(facts: FactTables, max_depth: int = MAX_DEPTH) -> DataFrame:
+def field_edges(facts: FactTables) -> DataFrame:
     """(rule_code, output, transform, source_table, source_field, branch, path_depth) of each rule's output columns.
 
     References are followed through CTEs and derived tables, at any nesting and through every set branch, to the
-    physical tables of the rule's own SQL.  ``transform`` is the heaviest on the way.
+    physical tables of the rule's own SQL.  ``transform`` is the heaviest on the way; a path never visits a column of a
+    scope twice, so recursion ends.
     """
     out = output_columns(facts).select("rule_code", "scope", "branch", "leaf", "position", "output", "transform")
     links = column_links(facts)
     step = out.join(links, ["rule_code", "leaf", "position"]).select(
         "rule_code", "scope", "branch", "output", "transform", "kind", "table", "field", "child"
     )
-    roots = step.where(F.col("scope") == 1).select("rule_code", "branch", "output", priority(F.col("transform")).alias("rank"), "kind", "table", "field", "child", F.lit(1).alias("depth"))
+    node = lambda c, f: F.concat_ws(".", F.col(c).cast("string"), f)
+    roots = step.where(F.col("scope") == 1).select("rule_code", "branch", "output", priority(F.col("transform")).alias("rank"), "kind", "table", "field", "child", F.lit(1).alias("depth"), F.array(node("child", "field")).alias("path"))
     inner = step.select("rule_code", F.col("scope").alias("child"), F.col("output").alias("field"), priority(F.col("transform")).alias("rank2"), F.col("kind").alias("kind2"), F.col("table").alias("table2"), F.col("field").alias("field2"), F.col("child").alias("child2"))
     done, level = roots.where("child is null"), roots.where("child is not null")
     inner = cut(inner)  # column references of a rule catalog, read once a level
-    for _ in range(max_depth):
-        level = level.join(inner, ["rule_code", "child", "field"]).select(
-            "rule_code", "branch", "output", F.greatest("rank", "rank2").alias("rank"), F.col("kind2").alias("kind"), F.col("table2").alias("table"), F.col("field2").alias("field"), F.col("child2").alias("child"), (F.col("depth") + 1).alias("depth")
-        )
+    while True:
+        level = level.join(inner, ["rule_code", "child", "field"]).where(F.col("child2").isNull() | ~F.array_contains("path", node("child2", "field2"))).select(
+            "rule_code", "branch", "output", F.greatest("rank", "rank2").alias("rank"), F.col("kind2").alias("kind"), F.col("table2").alias("table"), F.col("field2").alias("field"), F.col("child2").alias("child"), (F.col("depth") + 1).alias("depth"),
+            F.concat("path", F.array(node("child2", "field2"))).alias("path"),
+        ).distinct()
         level = cut(level)
         if level.isEmpty():
             break
