@@ -50,7 +50,7 @@ def impact(result: Result, table_changes: DataFrame, field_changes: DataFrame, d
     by_table = owners.join(result.strategy.select("group_code", "strategy"), "group_code").groupBy("table").agg(F.max("strategy").alias("strategy"))
     return (
         impact_ops.table_status(table_changes, result.read, result.strategy, result.step),
-        impact_ops.field_status(field_changes, table_changes, result.sources, result.read, ddl, by_table),
+        impact_ops.field_status(field_changes, table_changes, result.sources, result.read, ddl, by_table, impact_ops.star_reads(result.facts.status, result.read)),
     )
 
 

@@ -43,11 +43,12 @@ def table_status(changes: DataFrame, read: DataFrame, strategy: DataFrame, step:
     return j.select("before_table", "step_id", status.alias("status")).distinct()
 
 
-def field_status(changes: DataFrame, table_changes: DataFrame, sources: DataFrame, read: DataFrame, ddl: DataFrame, strategy: DataFrame) -> DataFrame:
+def field_status(changes: DataFrame, table_changes: DataFrame, sources: DataFrame, read: DataFrame, ddl: DataFrame, strategy: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """(before_table, before_field, change_type, table, field, status) of each field change at each affected field.
 
     ``sources``: physical_sources (table, field, source_table, source_field, transform, depth), so a change reaches every
     field fed by it at any distance, by the exact column.  Changes of tables that table_status handles are left out.
+    ``stars``: star_reads; which fields a SELECT * passes on is unknown, so its target is to be confirmed, field null.
     """
     c = changes.withColumn("k", short_name(F.col("before_table"))).join(table_changes.select(short_name(F.col("before_table")).alias("k")).distinct(), "k", "left_anti")
     readers = read.select(short_name(F.col("source")).alias("k")).distinct().withColumn("is_read", F.lit(True))
@@ -61,7 +62,18 @@ def field_status(changes: DataFrame, table_changes: DataFrame, sources: DataFram
         .when(F.col("change_type").isin(*TYPE_CHANGES), typed)
         .otherwise(F.coalesce(_init(F.col("change_type"), F.coalesce("strategy", F.lit("unknown"))), _lookup(F.col("change_type"), FIELD_DEFAULTS), F.lit(ASK)))
     )
-    return j.select("before_table", "before_field", "change_type", "table", "field", status.alias("status")).distinct()
+    out = j.select("before_table", "before_field", "change_type", "table", "field", status.alias("status")).distinct()
+    if stars is None:
+        return out
+    asked = c.join(stars.select("k", "table"), "k").select("before_table", "before_field", "change_type", "table", F.lit(None).cast("string").alias("field"), F.lit(ASK).alias("status")).distinct()
+    key = [F.col(f"o.{n}").eqNullSafe(F.col(f"s.{n}")) for n in ("before_table", "before_field", "change_type")]
+    found = out.alias("o").join(asked.select("before_table", "before_field", "change_type").distinct().alias("s"), [(F.col("o.status") == MISS) & F.col("o.table").isNull(), *key], "left_anti")
+    return found.unionByName(asked)
+
+
+def star_reads(status: DataFrame, read: DataFrame) -> DataFrame:
+    """(k, table): short names of the tables that rules with SELECT * read, and of what those rules write."""
+    return read.join(status.where("star").select("rule_code"), "rule_code", "left_semi").select(short_name(F.col("source")).alias("k"), short_name(F.col("target")).alias("table")).distinct()
 
 
 def summary(status: DataFrame) -> DataFrame:

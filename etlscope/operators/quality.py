@@ -72,6 +72,7 @@ def issue_counts(found: DataFrame) -> DataFrame:
 PATTERNS = {
     "cte_aggregate": "CTE预聚合", "cte": "CTE预处理", "pivot": "行转列", "window": "窗口函数", "aggregate": "聚合汇总", "case_when": "条件加工", "fallback": "NULL兼容",
     "incremental_dedup": "增量去重", "not_exists": "NOT EXISTS排除", "audit": "审计字段", "serial": "多步骤串行", "parallel": "多步骤并行",
+    "scd2_latest": "SCD2取最新",
 }
 
 
@@ -82,12 +83,15 @@ def patterns(facts: FactTables, step: DataFrame, selfs: DataFrame) -> DataFrame:
     c = facts.scopes.join(code, "rule_code").groupBy("group_code").agg(F.max(F.col("kind") == "cte").alias("cte"))
     s = step.groupBy("group_code").agg(F.count_distinct("exec_sequence").alias("n_seq"), F.count("*").alias("n"), F.max(F.contains(F.upper(F.coalesce("query_sql", F.lit(""))), F.lit("NOT EXISTS"))).alias("ne"))
     own = selfs.join(code, "step_id").select("group_code", F.lit(True).alias("own")).distinct()
-    g = s.join(t, "group_code", "left").join(c, "group_code", "left").join(own, "group_code", "left")
+    cte_columns = output_columns(facts).join(facts.scopes.where("kind = 'cte'").select("rule_code", "scope"), ["rule_code", "scope"])
+    latest = cte_columns.where((F.col("transform") == "window") & F.contains(F.upper("expression"), F.lit("ROW_NUMBER"))).join(code, "rule_code").select("group_code", F.lit(True).alias("latest")).distinct()
+    g = s.join(t, "group_code", "left").join(c, "group_code", "left").join(own, "group_code", "left").join(latest, "group_code", "left")
     has = lambda x: F.coalesce(F.array_contains("t", x), F.lit(False))
     cte, ne, me = F.coalesce("cte", F.lit(False)), F.col("ne"), F.coalesce("own", F.lit(False))
     flags = {
         "cte_aggregate": cte & has("aggregate"), "cte": cte & ~has("aggregate"), "pivot": has("pivot"), "window": has("window"), "aggregate": has("aggregate"), "case_when": has("case_when"), "fallback": has("fallback"),
         "incremental_dedup": ne & me, "not_exists": ne & ~me, "audit": has("value"), "serial": F.col("n_seq") > 1, "parallel": (F.col("n_seq") < F.col("n")),
+        "scd2_latest": F.coalesce("latest", F.lit(False)),
     }
     return g.select("group_code", F.explode(F.array_compact(F.array(*[F.when(v, k) for k, v in flags.items()]))).alias("pattern"))
 

@@ -238,7 +238,7 @@ class Analysis:
         return owners.join(self.strategy.select("group_code", "strategy"), "group_code").groupBy("table").agg(F.max("strategy").alias("strategy"))
 
     def field_impact(self) -> DataFrame:
-        return impact.field_status(self.field_changes, self.table_changes, self.sources(), self.read, self.ddl, self.table_strategy())
+        return impact.field_status(self.field_changes, self.table_changes, self.sources(), self.read, self.ddl, self.table_strategy(), impact.star_reads(self.facts.status, self.read))
 
 
 @cache
