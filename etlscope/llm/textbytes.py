@@ -1,10 +1,11 @@
 """Vectorised word splitting and hashing over the UTF-8 bytes of Arrow string columns.
 
 Everything here works on whole batches of texts at once with numpy: a byte table says which bytes belong to
-words, word hashes come from prefix sums of a byte polynomial, and n-gram hashes from prefix sums over the
-word hashes.  Both word definitions used in this package separate on ASCII bytes only, so classifying bytes is
-the same as classifying code points.  Memory is bounded by slabs (:data:`SLAB` bytes) plus a few arrays with
-one entry per word.
+words, and each word gets a 128-bit name made of its bytes: the bytes themselves and the length up to 15 bytes, and
+XXH3 of the bytes above.  Two 64-bit hashes are mixed from the name, and n-gram hashes are sums of word hashes times
+powers of an odd constant, one family for each of the two.  Both word definitions used in this package separate on
+ASCII bytes only, so classifying bytes is the same as classifying code points.  Memory is bounded by the group of texts
+at hand (:data:`SLAB` bytes, or one longer text) plus a few arrays with one entry per word.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Bytes hashed at a time, and bytes of text handled as one group of documents.
+#: Bytes of text handled as one group of documents.
 SLAB = 1 << 20
 
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_R = np.uint64(0x9E3779B97F4A7C15)  # odd multipliers of the byte and the word polynomials
+#: Longest word whose bytes are its name.
+SHORT = 15
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1] * (SHORT - 7), np.uint64)  # masks by word length
+_HIGH = np.array([0] * 9 + [(1 << 8 * n) - 1 for n in range(1, SHORT - 7)], np.uint64)
+_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)  # odd multipliers
 _Q = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -63,7 +67,7 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The words of a group of texts: byte ranges in ``data``, the text each is in, and 64-bit hashes."""
+    """The words of a group of texts: byte ranges in ``data``, the text each is in, and two 64-bit hashes."""
 
     data: np.ndarray
     start: np.ndarray
@@ -71,6 +75,7 @@ class Words:
     doc: np.ndarray
     bounds: np.ndarray  # words of text i are bounds[i]:bounds[i+1]
     hash: np.ndarray | None = None
+    other: np.ndarray | None = None
 
     def count(self) -> np.ndarray:
         return np.diff(self.bounds)
@@ -114,28 +119,46 @@ def split(data: np.ndarray, offsets: np.ndarray, word: np.ndarray, hashes: bool
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     out = Words(data, start, end, doc, bounds)
     if hashes:
-        out.hash = word_hashes(data, start, end)
+        out.hash, out.other = word_hashes(data, start, end)
     return out
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + SLAB, side="right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        power, inverse = _powers(_R, hi - lo)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * power[: hi - lo], out=sums[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-        i = j
-    return out
+def arrow_words(words: Words, word: np.ndarray) -> pa.Array:
+    """The bytes of each word; ``word`` is the byte class that they were split by."""
+    edges = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
+    data = words.data[word[words.data]]
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+
+
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit name of each byte range, as two 64-bit halves; ranges of up to SHORT bytes never share one."""
+    size = end - start
+    wide = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(wide) - 7,), "<u8", wide, strides=(1,))  # the eight bytes from each position on
+    short = np.minimum(size, SHORT)
+    low = eight[start] & _LOW[short]
+    high = eight[np.minimum(start + 8, len(data))] & _HIGH[short] | short.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        digest = xxhash.xxh3_128_digest
+        found = b"".join([digest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+        low[long], high[long] = np.frombuffer(found, "<u8").reshape(-1, 2).T
+    return low, high
+
+
+def mixed(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of a 128-bit name."""
+    return mix(mix(low * _K[0]) + high * _K[1]), mix(mix(high * _K[2] + _K[0]) ^ low * _K[1])
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each byte range."""
+    return mixed(*names(data, start, end))
 
 
 def grams(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """Hashes of the k words from each position on; the last k-1 positions of the whole array have none."""
+    """Hashes of the k words from each position on, of family ``which``; the last k-1 positions have none."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, np.uint64)

@@ -18,11 +18,13 @@ that Spark can write, under Spark's commit protocol: retried or lost tasks leave
 
 The tokenizer sees each distinct piece of text once.  A text may be cut before a single space between two visible
 characters, around a single newline between two, and after a letter before punctuation, because the byte-level
-pre-tokenizer always starts a new piece there; ids of pieces are kept in a bounded cache per worker process.  A piece
-of letters only, with at most a leading space, is one pre-token and goes straight to the tokenizer's BPE model.
+pre-tokenizer always starts a new piece there.  Pieces are told apart by their bytes, and the ids of up to ``CACHE``
+pieces are kept in each worker process.  New pieces are encoded in batches, joined by a newline where that is a token of
+its own.
 
 Edge cases: null text is empty and gives only the end id; a null doc_id sorts first; equal ids are ordered by text;
-an empty table gives an empty result.
+an empty table gives an empty result.  Shards hold about ``SHARD_BYTES`` of text, split by doc_id and a hash of the text, so
+only identical rows of one id must share a shard.
 """
 
 from __future__ import annotations
@@ -43,7 +45,9 @@ from .util import new_folder
 MAGIC = b"BPSHUF01"
 BLOCK = 1 << 16
 END_ID = 2
-CACHE = 150_000  # pieces
+CACHE = 500_000  # pieces
+SHARD_BYTES = 64 << 20  # of text
+JOINED = 500  # pieces encoded as one text
 _HEADER, _FOOTER = "<8sIII", "<6Q8s"
 
 
@@ -121,7 +125,7 @@ class Writer:
 class Reader:
     """One shard; blocks are decoded one at a time."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content):
         self.content = content
         magic, self.shard, self.kind, self.block = struct.unpack_from(_HEADER, content, 0)
         docs_at, docs_n, n, index_at, index_n, blocks, end = struct.unpack_from(_FOOTER, content, len(content) - struct.calcsize(_FOOTER) - 1)
@@ -190,13 +194,12 @@ class Encoder:
         self.letter[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
         self.mark = self.visible & ~self.letter
         self.mark[0x30:0x3A] = False
-        # a byte-level model spells bytes as printable characters: most as themselves, the space and a few as others
-        self.spelling = byte_spelling()
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = line[0] if len(line) == 1 else None
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = [0]
+        self.store = Store()
+        self.long: dict[bytes, int] = {}  # entry of each piece of more than SHORT bytes
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces begin: all text starts, and the safe places inside texts.
@@ -230,59 +233,133 @@ class Encoder:
         raw = data.tobytes()
         return any(a in raw for a in self.added)
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        found: list = [None] * len(pieces)
-        model, rest = self.tokenizer.model, []
-        for i, piece in enumerate(pieces):
-            word = piece[1:] if piece[0] == " " else piece
-            if word.isalpha() and len(piece) < 64 and max(word) < "\u0100":
-                found[i] = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(self.spelling))]
+    def _learn(self, raw: memoryview, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and the count of each."""
+        first = data[start]
+        second = (first == 0x20) & (end - start > 1)
+        first[second] = data[start[second] + 1]
+        lines = np.concatenate([[0], np.cumsum(data == 0x0A)])
+        # a newline before and one behind such a piece are tokens of their own: it begins (but for one space) and ends visibly
+        joins = (self.visible[first] | (first == 0xC3)) & self.visible[data[end - 1]] & (lines[end] == lines[start]) & (self.newline is not None)
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        n, pieces = int(joins.sum()), [bytes(raw[a:b]) for a, b in zip(start[order].tolist(), end[order].tolist(), strict=True)]
+        texts = [b"\n".join(pieces[a : min(n, a + JOINED)]).decode() for a in range(0, n, JOINED)] + [p.decode() for p in pieces[n:]]
+        flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for e in (e for a in range(0, len(texts), 64) for e in self.tokenizer.encode_batch_fast(texts[a : a + 64], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            if n > 0:
+                line = np.flatnonzero(ids == self.newline)
+                counts.append(np.diff(line, prepend=-1, append=len(ids)) - 1)
+                ids = np.delete(ids, line)
+                n -= JOINED
             else:
-                rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        for key, ids in zip(keys, found, strict=True):
-            end = self.at[-1] + len(ids)
-            if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.at[-1] : end] = ids
-            self.known[key] = len(self.at) - 1
-            self.at.append(end)
+                counts.append(np.array([len(ids)]))
+            flat.append(ids)
+        found, size = np.concatenate(flat), np.concatenate(counts)
+        if len(size) != len(order):
+            raise ValueError("pieces and their ids do not fit")
+        place = np.argsort(order)  # back to the order given
+        at, size = (np.cumsum(size) - size)[place], size[place]
+        return found[np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)], size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and the count of each text."""
         start = self.cuts(data, offsets)
-        end = np.concatenate([start[1:], [len(data)]]).astype(np.int64) if len(start) else start
-        text = np.searchsorted(offsets, start, side="right") - 1
-        keys, where, of = np.unique(tb.word_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) > self.cache_size:
+        end = np.append(start[1:], len(data)).astype(np.int64)[: len(start)]
+        if len(self.store.first) + len(start) > self.cache_size:
             self.clear()
-        names = keys.tolist()
-        new = [i for i, key in enumerate(names) if key not in self.known]
-        raw = data.tobytes()
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            self._learn([names[i] for i in part], [raw[start[where[i]] : end[where[i]]].decode() for i in part])
-        slot = np.array([self.known[key] for key in names], np.int64)
-        at = np.array(self.at, np.int64)
-        first, size = at[slot][of], np.diff(at)[slot][of]
+        entry, raw = np.empty(len(start), np.int64), memoryview(np.ascontiguousarray(data))
+        short = end - start <= tb.SHORT
+        own = np.flatnonzero(short)
+        low, high = tb.names(data, start[own], end[own])
+        found = self.store.lookup(low, high)
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            miss = miss[np.lexsort((low[miss], high[miss]))]
+            fresh = np.concatenate([[True], (low[miss][1:] != low[miss][:-1]) | (high[miss][1:] != high[miss][:-1])])
+            new = miss[fresh]
+            found[miss] = self.store.add(low[new], high[new], *self._learn(raw, data, start[own[new]], end[own[new]]))[np.cumsum(fresh) - 1]
+        entry[own] = found
+        own = np.flatnonzero(~short)
+        if len(own):
+            pieces = [bytes(raw[a:b]) for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)]
+            new = {p: i for i, p in enumerate(pieces) if p not in self.long}
+            if new:
+                at = own[list(new.values())]
+                self.long.update(zip(new, self.store.extend(*self._learn(raw, data, start[at], end[at])).tolist(), strict=True))
+            entry[own] = [self.long[p] for p in pieces]
+        first, size = self.store.first[entry], self.store.size[entry]
+        text = np.searchsorted(offsets, start, side="right") - 1
         counts = np.bincount(text, weights=size, minlength=len(offsets) - 1).astype(np.int64) + 1
-        pieces_of = np.bincount(text, minlength=len(offsets) - 1)
         # one more piece, the end id, after the pieces of each text
-        ends = np.cumsum(pieces_of)
+        ends = np.cumsum(np.bincount(text, minlength=len(offsets) - 1))
         first, size = np.insert(first, ends, -1), np.insert(size, ends, 1)
         target = np.cumsum(size) - size
         ids = np.arange(int(size.sum())) - np.repeat(target - first, size)
-        out = self.flat[np.maximum(ids, 0)]
+        out = self.store.flat[np.maximum(ids, 0)]
         out[ids < 0] = END_ID
         return out, counts
 
 
-def byte_spelling() -> dict[int, str]:
-    """How a byte-level vocabulary spells each byte: printable Latin-1 as itself, the others from U+0100 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    other = iter(range(0x100, 0x200))
-    return {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
+class Store:
+    """Ids of pieces, one after the other, and an open hash table of 128-bit names."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by entry
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.table = np.full(1 << 12, -1, np.int32)
+        self.named = 0
+
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (tb.mixed(low, high)[0] & np.uint64(len(self.table) - 1)).astype(np.int64)
+
+    def lookup(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entry of each name, -1 if it has none."""
+        out, at, open_ = np.full(len(low), -1, np.int64), self._home(low, high), np.arange(len(low))
+        while len(open_):
+            here = self.table[at[open_]]
+            taken = here >= 0
+            open_, here = open_[taken], here[taken]
+            same = (self.low[here] == low[open_]) & (self.high[here] == high[open_])
+            out[open_[same]] = here[same]
+            open_ = open_[~same]
+            at[open_] = (at[open_] + 1) & (len(self.table) - 1)
+        return out
+
+    def _place(self, entry: np.ndarray) -> None:
+        at = self._home(self.low[entry], self.high[entry])
+        while len(entry):
+            free = np.flatnonzero(self.table[at] < 0)
+            self.table[at[free]] = entry[free]  # of several at one place the last stays
+            left = self.table[at] != entry
+            entry, at = entry[left], (at[left] + 1) & (len(self.table) - 1)
+
+    def extend(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """New entries without names."""
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        entry = np.arange(len(self.first), len(self.first) + len(size))
+        self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used += len(flat)
+        for name in ("low", "high"):
+            setattr(self, name, np.concatenate([getattr(self, name), np.zeros(len(size), np.uint64)]))
+        return entry
+
+    def add(self, low: np.ndarray, high: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """New entries with names, which are distinct and have none yet."""
+        entry = self.extend(flat, size)
+        self.low[entry], self.high[entry] = low, high
+        self.named += len(entry)
+        if 2 * self.named > len(self.table):
+            everything = np.concatenate([self.table[self.table >= 0], entry])
+            self.table = np.full(1 << (4 * self.named).bit_length(), -1, np.int32)
+            self._place(everything)
+        else:
+            self._place(entry)
+        return entry
 
 
 def worker_encoder(tokenizer: str) -> Encoder:
@@ -319,18 +396,26 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: int = 8, bl
         for raw in writer.finish():
             yield line([raw])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    key = F.xxhash64("text")
+    ordered = own.repartitionByRange(n, "doc_id", key).sortWithinPartitions("doc_id", key, "text")
     lines = ordered.mapInArrow(run, "line binary")
     lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
 
 
+def _shards(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+
+
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """(shard, position, doc_id, local_start, n_tokens, ids_crc32) of every document in the shards of a folder."""
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                r = Reader(content.as_buffer().to_pybytes())
+                r = Reader(memoryview(content.as_buffer()))
                 n = len(r.doc_ids)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -340,17 +425,26 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                     ["shard", "position", "doc_id", "local_start", "n_tokens", "ids_crc32"],
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    return files.mapInArrow(run, "shard long, position long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    return _shards(spark, folder).mapInArrow(run, "shard long, position long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+
+
+def shard_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, total): ids of each shard, from its document table alone."""
+
+    def run(batches):
+        for batch in batches:
+            found = [Reader(memoryview(c.as_buffer())) for c in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([r.shard for r in found], pa.int64()), pa.array([int(r.starts[-1]) for r in found], pa.int64())], ["shard", "total"])
+
+    return _shards(spark, folder).mapInArrow(run, "shard long, total long")
 
 
 def documents_of(spark: SparkSession, folder: str) -> DataFrame:
     """read_shards with ``start``: how many ids all documents before have."""
-    rows = read_shards(spark, folder)
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # one row per shard
+    totals = shard_totals(spark, folder)  # one row per shard
     before = F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = totals.select("shard", before.alias("base"))
-    return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "shard", "position")
+    return read_shards(spark, folder).join(bases, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "shard", "position")
 
 
 def query(docs: DataFrame, tokenizer: str, kind: int = 8) -> DataFrame:
