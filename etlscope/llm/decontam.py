@@ -1,19 +1,20 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Each shard of training text (a few MB of whole documents) gets a suffix array over its words; every suffix of the
-benchmark is binary-searched in it.  A benchmark window is 13 consecutive words of one item (an item of fewer words
-is one window); the search gives the run of training suffixes that start with the window, so all its locations.
-The longest verbatim match at each location then comes from narrowing the matching range of the benchmark's own
+Words are numbered by the benchmark's vocabulary (exactly, by their bytes; other words are 0).  Each shard of training
+text (a few MB of whole documents) gets a suffix array over its words, sorted as deep as the longest item, and every
+suffix of the benchmark that holds a window is binary-searched in it.  A window is 13 consecutive words of one item (an
+item of fewer words is one window); the search gives the run of training suffixes that start with it, so all its
+locations.  The longest verbatim match at each location comes from narrowing the matching range of the benchmark's own
 suffix array word by word.
 
-Only training suffixes whose first words (3, or all words of a shorter item) occur at the head of some benchmark
-window enter the array.  That loses nothing, since any other suffix cannot match a window, and it keeps the array
-small.  Text never leaves its task; nothing is shuffled.  The benchmark travels in blocks of ``block_bytes`` at
-most; a larger one is searched block by block and the hits are merged.
+Training positions outside of runs of known words that could hold the shortest window are left out of the array: no
+benchmark suffix can match there.  Text never leaves its task; nothing is shuffled.  The benchmark travels in blocks of
+``block_bytes`` at most; blocks of a larger one are searched one after the other, each in one reading of the corpus, and
+only rows with hits are written and merged by row id.  Rows are judged by their own text in either case.
 
 Edge cases: null text and empty text have no words and are never contaminated; items without words match nothing;
-equal item_ids count as one item and a null item_id is named "null"; repeated documents give repeated rows; empty
-tables work.
+equal item_ids count as one item and a null item_id is named "null"; repeated documents give repeated rows; ids may have
+any type; columns may have any names; empty tables work.
 """
 
 from __future__ import annotations
@@ -23,163 +24,185 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .util import materialize
+from .util import find, fresh, materialize
 
-WINDOW, SEED = 13, 3
-BLOCK_BYTES = 32 << 20
-_BITS = 20
+WINDOW = 13
+BLOCK_BYTES = 32 << 20  # of the benchmark
+SHARD_BYTES = 4 << 20  # of training text
 SPAN = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 
 
-def _keys(hashes: np.ndarray, at: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
-    """The words of each suffix up to ``width``, as bytes that compare like the words' hashes; shorter: padded."""
-    out = np.zeros((len(at), width), ">u8")
-    for t in range(width):
-        has = left > t
-        out[has, t] = hashes[at[has] + t]
-    return np.ascontiguousarray(out).view(f"S{8 * width}").ravel()
-
-
-def suffix_array(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """All suffixes of the texts that ``bounds`` delimits, sorted by word hashes; by prefix doubling."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(0, np.int64)
-    end = np.repeat(bounds[1:], np.diff(bounds))
-    rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
-    step, longest = 1, int(np.diff(bounds).max())
-    here = np.arange(n)
+def _packed(numbers: np.ndarray, at: np.ndarray, end: np.ndarray, step: int, take: int, base: int, fill: int = 0) -> np.ndarray:
+    """One number of the ``take`` numbers at ``at``, ``at + step``, ...; ``fill`` from ``end`` on."""
+    key = np.zeros(len(at), np.int64)
+    for k in range(take):
+        here = at + k * step
+        key = key * base + np.where(here < end, numbers[np.minimum(here, len(numbers) - 1)], fill)
+    return key
+
+
+def _fits(base: int) -> int:
+    """How many numbers below ``base`` go into 62 bits."""
+    return max(2, int(62 / np.log2(max(2, base))))
+
+
+def suffix_array(numbers: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+    """The positions ``at`` sorted by their numbers up to ``depth``.
+
+    ``end`` holds where the run of each position ends; with a position, all later ones of its run belong to ``at``.  Each round ranks several times as
+    many numbers as the one before.
+    """
+    rank, have = numbers, 1
     while True:
-        ahead = np.zeros(n, np.int64)
-        inside = here + step < end
-        ahead[inside] = rank[here[inside] + step]
-        order = np.lexsort((ahead, rank))
-        fresh = np.ones(n, np.int64)
-        fresh[1:] = (rank[order][1:] != rank[order][:-1]) | (ahead[order][1:] != ahead[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        step *= 2
-        if step > longest or rank.max() == n:
-            return order
+        base = int(rank.max(initial=0)) + 1
+        take = _fits(base)
+        key = _packed(rank, at, end, have, take, base)
+        order = np.argsort(key, kind="stable")
+        new = np.diff(key[order]) != 0
+        have *= take
+        if have >= depth or new.all():
+            return at[order]
+        rank = np.zeros(len(numbers), np.int64)
+        rank[at[order]] = np.cumsum(np.concatenate([[True], new]))
+
+
+def _numbers(words: tb.Words, vocabulary: pa.Array) -> np.ndarray:
+    """The place of each word in the vocabulary, from 1; 0 for others."""
+    found = pc.index_in(tb.arrow_words(words, tb.alnum_class()), value_set=vocabulary)
+    return found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
 
 @dataclass
 class Benchmark:
-    """The searchable form of a block of items: hashes, their suffix array, distinct windows and seeds."""
+    """The searchable form of a block of items: word numbers, their suffix array, distinct windows."""
 
     names: list[str]
-    hashes: np.ndarray
+    vocabulary: pa.Array
+    numbers: np.ndarray
     item: np.ndarray  # item name index of each word
-    left: np.ndarray
+    end: np.ndarray  # where the text of each word ends
     order: np.ndarray  # suffix array
-    low: np.ndarray  # of each distinct window: keys below and above all suffixes that start with it
-    high: np.ndarray
+    head: np.ndarray  # of each distinct window: where it first occurs, its words, its run in ``order``
     size: np.ndarray
-    range: np.ndarray  # its run in ``order``
+    run: np.ndarray
     owners: np.ndarray  # items of all windows, window by window
     owner_at: np.ndarray
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
+    longest: int
 
     @classmethod
     def build(cls, rows: list[tuple[str, str]], window: int) -> Benchmark:
         names = sorted({n for n, _ in rows})
         index = {n: i for i, n in enumerate(names)}
         data, offsets = tb.buffers(pa.array([t for _, t in rows], pa.large_string()))
-        words = tb.split(tb.lower(data), offsets, tb.alnum_class())
-        hashes, left = np.maximum(words.hash, np.uint64(1)), words.left()
-        item = np.array([index[n] for n, _ in rows], np.int64)[words.doc] if len(words.doc) else np.zeros(0, np.int64)
-        length = words.count()[words.doc]
+        words = tb.split(tb.lower(data), offsets, tb.alnum_class(), hashes=False)
+        vocabulary = tb.arrow_words(words, tb.alnum_class()).unique()
+        numbers = _numbers(words, vocabulary)
+        n = len(numbers)
+        item = np.array([index[x] for x, _ in rows], np.int64)[words.doc] if n else np.zeros(0, np.int64)
+        end, length = words.bounds[words.doc + 1], words.count()[words.doc]
+        longest = int(length.max(initial=0))
+        order = suffix_array(numbers, np.arange(n), end, longest)
         size = np.minimum(length, window)
-        heads = np.flatnonzero(left >= size)
-        keys = _keys(hashes, heads, size[heads], window)
-        both = np.array(list(zip(size[heads], keys, strict=True)), [("n", "i4"), ("k", keys.dtype)])
-        distinct, of = np.unique(both, return_inverse=True)
-        order = suffix_array(hashes, words.bounds)
-        sorted_keys = _keys(hashes, order, np.minimum(left[order], window), window)
-        low = np.ascontiguousarray(distinct["k"])
-        high = np.frombuffer(low.tobytes(), np.uint8).reshape(len(low), 8 * window).copy()
-        for i, n in enumerate(distinct["n"]):
-            high[i, 8 * n :] = 255
-        high = high.view(low.dtype).ravel()
-        run = np.stack([np.searchsorted(sorted_keys, low, "left"), np.searchsorted(sorted_keys, high, "right")], 1) if len(low) else np.zeros((0, 2), np.int64)
-        pairs = np.unique(of.astype(np.int64) * max(1, len(names)) + item[heads])
+        # windows in the order of the suffix array, so equal ones of one size are neighbours once sorted by size
+        heads = order[(end - np.arange(n) >= size)[order]]
+        heads = heads[np.argsort(size[heads], kind="stable")]
+        fresh_ = np.ones(len(heads), bool)
+        if len(heads) > 1:
+            a, b, span = heads[1:], heads[:-1], size[heads[1:]]
+            same = size[a] == size[b]
+            for k in range(window):
+                inside = span > k
+                same &= ~inside | (numbers[np.minimum(a + k, n - 1)] == numbers[np.minimum(b + k, n - 1)])
+            fresh_[1:] = ~same
+        head, of = heads[fresh_], np.cumsum(fresh_) - 1
+        pairs = np.unique(of * max(1, len(names)) + item[heads])
         owner_of, owners = pairs // max(1, len(names)), pairs % max(1, len(names))
-        owner_at = np.searchsorted(owner_of, np.arange(len(low) + 1))
-        seeds = {}
-        for k in range(1, SEED + 1):
-            at = heads[(length[heads] == k) if k < SEED else (length[heads] >= k)]
-            if len(at):
-                wanted = np.unique(tb.grams(hashes, k)[at])
-                bits = np.zeros(1 << _BITS, bool)
-                bits[wanted >> np.uint64(64 - _BITS)] = True
-                seeds[k] = (wanted, bits)
-        return cls(names, hashes, item, left, order, low, high, distinct["n"].astype(np.int64), run, owners, owner_at, seeds)
-
-    def candidates(self, words: tb.Words, hashes: np.ndarray) -> np.ndarray:
-        """Positions whose first words occur at the head of some window."""
-        left, found = words.left(), []
-        for k, (wanted, bits) in self.seeds.items():
-            g = tb.grams(hashes, k)
-            at = np.flatnonzero(bits[g >> np.uint64(64 - _BITS)])
-            at = at[left[at] >= k]
-            spot = np.minimum(np.searchsorted(wanted, g[at]), len(wanted) - 1)
-            found.append(at[wanted[spot] == g[at]])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-    def extend(self, hashes: np.ndarray, left: np.ndarray, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = cls(names, vocabulary, numbers, item, end, order, head, size[head], np.zeros((0, 2), np.int64), owners, np.searchsorted(owner_of, np.arange(len(head) + 1)), longest)
+        out.run = out.ranges(numbers, order, end)
+        return out
+
+    def ranges(self, numbers: np.ndarray, order: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """First and last (exclusive) place in a suffix array of the suffixes that start with each window.
+
+        The first words are looked up at once, packed into one key; the rest narrows the range word by word.
+        """
+        out = np.zeros((len(self.head), 2), np.int64)
+        if not len(order) or not len(self.head):
+            return out
+        base = len(self.vocabulary) + 1
+        take = _fits(base)
+        keys, stop = _packed(numbers, order, end[order], 1, take, base), self.head + self.size
+        out[:, 0] = np.searchsorted(keys, _packed(self.numbers, self.head, stop, 1, take, base), "left")
+        out[:, 1] = np.searchsorted(keys, _packed(self.numbers, self.head, stop, 1, take, base, base - 1), "right")
+        live = np.flatnonzero((out[:, 0] < out[:, 1]) & (self.size > take))
+        for k in range(take, int(self.size.max())):
+            live = live[self.size[live] > k]
+            word = self.numbers[self.head[live] + k]
+            a, b = (bisect(numbers, order, end, out[live, 0], out[live, 1], np.full(len(live), k), word, right) for right in (False, True))
+            out[live, 0], out[live, 1] = a, b
+            live = live[a < b]
+        return out
+
+    def extend(self, numbers: np.ndarray, end: np.ndarray, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Longest match of each training suffix with any benchmark suffix, and a place of it in the benchmark."""
-        low, high = self.range[window, 0].copy(), self.range[window, 1].copy()
+        low, high = self.run[window, 0].copy(), self.run[window, 1].copy()
         depth = self.size[window].copy()
         live = np.arange(len(at))
         while len(live):
-            live = live[left[at[live]] > depth[live]]
-            word, d = hashes[at[live] + depth[live]], depth[live]
-            a, b = self._bisect(low[live], high[live], d, word, False), self._bisect(low[live], high[live], d, word, True)
-            grew = a < b
+            live = live[end[at[live]] > at[live] + depth[live]]
+            word, d = numbers[at[live] + depth[live]], depth[live]
+            a, b = (bisect(self.numbers, self.order, self.end, low[live], high[live], d, word, right) for right in (False, True))
+            grew = (a < b) & (word > 0)
             live, a, b = live[grew], a[grew], b[grew]
             low[live], high[live] = a, b
             depth[live] += 1
         return depth, self.order[low] if len(low) else low
 
-    def _bisect(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray, word: np.ndarray, right: bool) -> np.ndarray:
-        low, high = low.copy(), high.copy()
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            at = self.order[np.minimum(mid, len(self.order) - 1)]
-            has = self.left[at] > depth
-            value = np.zeros(len(at), np.uint64)
-            value[has] = self.hashes[at[has] + depth[has]]
-            less = (value <= word) if right else (value < word)
-            low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
-        return low
+
+def bisect(numbers: np.ndarray, order: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, depth: np.ndarray, word: np.ndarray, right: bool) -> np.ndarray:
+    """Within places low:high of a suffix array, whose suffixes agree before ``depth``, the first whose number there is not below ``word`` (or above it)."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        at = order[np.minimum(mid, len(order) - 1)]
+        value = np.where(at + depth < end[at], numbers[np.minimum(at + depth, len(numbers) - 1)], 0)
+        less = (value <= word) if right else (value < word)
+        low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    return low
+
+
+def training_array(numbers: np.ndarray, doc: np.ndarray, least: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the positions in runs of ``least`` known words or more, and where each position's run ends."""
+    n = len(numbers)
+    place = np.arange(n)
+    begins = np.concatenate([[True], (doc[1:] != doc[:-1]) | (numbers[:-1] == 0) | (numbers[1:] == 0)]) if n else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(begins, place, 0))
+    end = np.append(np.minimum.accumulate(np.where(begins, place, n)[::-1])[::-1][1:], n) if n else place
+    kept = np.flatnonzero((numbers > 0) & (end - first >= least))
+    return suffix_array(numbers, kept, end[kept], depth) if len(kept) else kept, end
 
 
-def search(bench: Benchmark, data: np.ndarray, offsets: np.ndarray, window: int) -> list[dict]:
+def search(bench: Benchmark, data: np.ndarray, offsets: np.ndarray) -> list[dict]:
     """One record per text: n_words, hit spans (word positions), items, and the longest match with its place."""
-    words = tb.split(tb.lower(data), offsets, tb.alnum_class())
-    counts, n_docs = words.count(), len(offsets) - 1
-    out = [{"n_words": int(c), "spans": [], "items": [], "longest": 0, "longest_at": None, "longest_item": None} for c in counts]
-    if not len(words.start) or not len(bench.low):
+    words = tb.split(tb.lower(data), offsets, tb.alnum_class(), hashes=False)
+    out = [{"n_words": int(c), "spans": [], "items": [], "longest": 0, "longest_at": None, "longest_item": None} for c in words.count()]
+    if not len(words.start) or not len(bench.head):
         return out
-    hashes, left = np.maximum(words.hash, np.uint64(1)), words.left()
-    at = bench.candidates(words, hashes)
-    keys = _keys(hashes, at, np.minimum(left[at], window), window)
-    order = np.argsort(keys, kind="stable")
-    keys, at = keys[order], at[order]
-    first, last = np.searchsorted(keys, bench.low, "left"), np.searchsorted(keys, bench.high, "right")
-    runs = last - first
-    which = np.repeat(np.arange(len(runs)), runs)
-    spot = at[np.repeat(first - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())]
-    fits = left[spot] >= bench.size[which]
-    which, spot = which[fits], spot[fits]
+    numbers = _numbers(words, bench.vocabulary)
+    order, end = training_array(numbers, words.doc, int(bench.size.min()), bench.longest)
+    run = bench.ranges(numbers, order, end)
+    n = run[:, 1] - run[:, 0]
+    which = np.repeat(np.arange(len(n)), n)
+    spot = order[np.repeat(run[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if n.any() else n[:0]
     if not len(spot):
         return out
-    cover = np.zeros(len(hashes) + 1, np.int64)
+    cover = np.zeros(len(numbers) + 1, np.int64)
     np.add.at(cover, spot, 1)
     np.add.at(cover, spot + bench.size[which], -1)
     hit = np.cumsum(cover[:-1]) > 0
@@ -190,10 +213,10 @@ def search(bench: Benchmark, data: np.ndarray, offsets: np.ndarray, window: int)
         d = int(words.doc[b])
         out[d]["spans"].append({"first": int(b - words.bounds[d]), "last": int(e - words.bounds[d])})
     doc = words.doc[spot]
-    pairs = np.unique(doc * len(bench.low) + which)
-    for d, w in zip((pairs // len(bench.low)).tolist(), (pairs % len(bench.low)).tolist(), strict=True):
+    pairs = np.unique(doc * len(bench.head) + which)
+    for d, w in zip((pairs // len(bench.head)).tolist(), (pairs % len(bench.head)).tolist(), strict=True):
         out[d]["items"].extend(bench.owners[bench.owner_at[w] : bench.owner_at[w + 1]].tolist())
-    depth, place = bench.extend(hashes, left, spot, which)
+    depth, place = bench.extend(numbers, end, spot, which)
     best = np.lexsort((spot, -depth, doc))
     for i in best[np.unique(doc[best], return_index=True)[1]]:
         d = int(doc[i])
@@ -219,53 +242,51 @@ def _scan(rows: DataFrame, bench_rows: list[tuple[str, str]], window: int) -> Da
     def run(batches):
         bench = Benchmark.build(shared.value, window)
         for batch in batches:
-            data, offsets = tb.buffers(batch.column("text"))
-            for i, j in tb.groups(offsets):
-                found = search(bench, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window)
-                columns = pa.array(found, _ARROW).flatten()
-                ids = [batch.column(c).slice(i, j - i) for c in ("rid", "doc_id")]
-                yield pa.RecordBatch.from_arrays([*ids, *columns], ["rid", "doc_id", *[f.name for f in _OUT]])
+            data, offsets = tb.buffers(batch.column(2))
+            for i, j in tb.groups(offsets, SHARD_BYTES):
+                columns = pa.array(search(bench, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), _ARROW).flatten()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *columns], ["rid", "doc_id", *[f.name for f in _OUT]])
 
     schema = T.StructType([rows.schema["rid"], rows.schema["doc_id"], *_OUT])
     return rows.select("rid", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _union_spans(lists):
-    spans = sorted((s["first"], s["last"]) for part in lists for s in part)
-    out = []
-    for a, b in spans:
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [{"first": a, "last": b} for a, b in out]
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items, longest, longest_at, longest_item) per row of ``docs(doc_id, text)``.
 
     spans are the maximal runs of hit words; items the sorted names of the items with a window in the document.
     """
     items, total = _items(benchmark)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     if total > block_bytes:
         rows = materialize(rows, "decontam-rows")
     return _matches(rows, items, total, window, block_bytes).drop("rid")
 
 
 def _matches(rows: DataFrame, items: DataFrame, total: int, window: int, block_bytes: int) -> DataFrame:
-    """What ``matches`` gives and rid, per row of ``rows(rid, doc_id, text)``; with several blocks, rids must be stored ones."""
+    """What ``matches`` gives and rid, per row of ``rows(rid, doc_id, text)``; with several blocks, rids must be stored ones.
+
+    Each block is searched and its hits written before the next is read, so one block at a time is held.
+    """
     if total <= block_bytes:
         return _scan(rows, [tuple(r) for r in items.collect()], window)
     n = -(-total // block_bytes)
-    parts = [_scan(rows, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()], window) for b in range(n)]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    merge = F.udf(_union_spans, SPAN)
-    best = F.max(F.struct("longest", "longest_at", "longest_item")).alias("best")
-    merged = union.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best)
-    return merged.select("rid", "doc_id", "n_words", merge("spans").alias("spans"), "items", "best.longest", "best.longest_at", "best.longest_item")
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    found = None
+    for b in range(n):
+        part = _scan(rows, [tuple(r) for r in items.where(block == b).collect()], window)
+        part = materialize(part if found is None else part.where("longest > 0"), "decontam-hits")
+        found = part if found is None else found.unionByName(part)
+    order = Window.partitionBy("rid").orderBy("first", "last")
+    spans = found.select("rid", F.inline("spans"))
+    spans = spans.withColumn("fresh", F.col("first") > F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    spans = spans.withColumn("run", F.sum(F.col("fresh").cast("int")).over(order)).groupBy("rid", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    spans = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    names = found.select("rid", F.explode("items").alias("item")).groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    best = F.max_by(F.struct("longest", "longest_at", "longest_item"), F.struct("longest", -F.col("longest_at"))).alias("best")
+    whole = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), best)
+    whole = whole.join(spans, "rid", "left").join(names, "rid", "left")
+    return whole.select("rid", "doc_id", "n_words", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "best.longest", "best.longest_at", "best.longest_item")
 
 
 def judge(found: DataFrame) -> DataFrame:
@@ -289,25 +310,26 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated.
 
-    With a benchmark of one block rows are filtered where they are; else by an anti-join on stored row ids.  Each row
-    is judged by its own text either way.
+    With a benchmark of one block rows are filtered where they are; else by an anti-join on stored row ids.
     """
     items, total = _items(benchmark)
+    text = find(docs, "text")
     if total > block_bytes:
-        own = materialize(docs.withColumn("_dc_rid", F.monotonically_increasing_id()), "decontam-docs")
-        found = _matches(own.select(F.col("_dc_rid").alias("rid"), "doc_id", "text"), items, total, window, block_bytes)
-        bad = judge(found).where("contaminated").select(F.col("rid").alias("_dc_rid"))
-        return own.join(bad, "_dc_rid", "left_anti").select(*docs.columns)
+        rid = fresh(docs, "rid")
+        own = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "decontam-docs")
+        rows = own.select(F.col(rid).alias("rid"), F.lit(None).cast("int").alias("doc_id"), F.col(text).alias("text"))
+        bad = judge(_matches(rows, items, total, window, block_bytes)).where("contaminated").select(F.col("rid").alias(rid))
+        return own.join(bad, rid, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
-    place = docs.columns.index("text")
+    place = docs.columns.index(text)
 
     def run(batches):
         bench = Benchmark.build(shared.value, window)
         for batch in batches:
             data, offsets = tb.buffers(batch.column(place))
             keep: list[bool] = []
-            for i, j in tb.groups(offsets):
-                for x in search(bench, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window):
+            for i, j in tb.groups(offsets, SHARD_BYTES):
+                for x in search(bench, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     n_hit = sum(s["last"] - s["first"] for s in x["spans"])
                     keep.append(not (n_hit > 0 and 20 * n_hit >= x["n_words"]))
             yield batch.filter(pa.array(keep, pa.bool_()))

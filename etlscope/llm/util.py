@@ -47,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def find(df: DataFrame, name: str) -> str:
+    """The column of ``df`` that Spark means by ``name``, which ignores case."""
+    return next(c for c in df.columns if c.lower() == name.lower())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else unchanged."""
     return F.translate(text, UPPER, LOWER)
