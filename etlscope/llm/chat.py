@@ -1,11 +1,16 @@
 """Chat formatting in budgeted windows; DataFrame functions only.
 
-A conversation's turns are cut into turn-aligned spans by prefix sums of their tokens: a span ends before the turn
-that would exceed its capacity.  Each span becomes a window: the system turn (the first turn, if its role is system) is
-retained, up to ``HISTORY_TURNS`` turns before the span are repeated as far as they fit ``HISTORY_TOKENS``, then come the
-span's own turns.  Capacity is the budget less the system turn and the history allowance; a single turn above it has a
-span of its own and is never split.  The loss mask covers the texts of assistant turns where they are first shown;
-repeated ones are masked.
+Prefix sums of turn tokens cut a conversation into turn-aligned spans: the line of all its tokens is marked every
+``capacity`` tokens, turns between two marks make a span, and a turn across a mark joins the span behind it if both fit
+the capacity, else it is a span of its own.  Each span becomes a window: the system turn (the first turn, if its role is
+system) is retained, up to ``HISTORY_TURNS`` turns before the span are repeated as far as they fit ``HISTORY_TOKENS``,
+then come the span's own turns.  Capacity is the budget less the system turn and the history allowance; a single turn
+above it has a span of its own and is never split.  The loss mask covers the texts of assistant turns where they are
+first shown; repeated ones are masked.
+
+Turns stay rows: spans, windows and repetitions come from window functions over each conversation, which spill, and only
+the turns of one window are ever collected.  So work and memory grow with the turns, however long a conversation is.
+Reading back for the digests joins each conversation's text in one row, as its hash needs.
 
 Template, for each turn::
 
@@ -19,7 +24,7 @@ Tokens are estimated as runs of letters and digits plus single other signs, plus
 
 Edge cases: null role, text or turn number: empty, empty, first; equal turn numbers are ordered by role and text;
 repeated rows are turns of their own; a null conv_id is one conversation; turns without any text keep their place; an
-empty table gives an empty result.  A conversation, being one sequence, is handled by one task.
+empty table gives an empty result.  A conversation, being one sequence, is sorted by one task.
 """
 
 from __future__ import annotations
@@ -50,56 +55,63 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*)({_REST})", "$1$2$3")
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
-    """Windows of ``turns(conv_id, turn, role, text)``.
+def spans(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+    """Each of ``turns(conv_id, turn, role, text)`` with its place in the conversation, its tokens, and its span.
 
-    (conv_id, window, formatted, n_tokens, n_repeated, n_new, loss): n_repeated turns lead and were shown before;
-    loss holds (start, length) code point ranges of ``formatted`` under the loss mask.
+    Added: rn, system, tokens, upto (tokens up to its end, without the system turn), first (whether a span begins with it), window.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(_TOKEN)) + TURN_TOKENS)
+    rows = rows.withColumn("tokens", (F.regexp_count("text", F.lit(_TOKEN)) + TURN_TOKENS).cast("long"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("rn", F.row_number().over(order))
     rows = rows.withColumn("system", (F.col("rn") == 1) & (F.col("role") == "system"))
-    counted = F.when(F.col("system"), 0).otherwise(F.col("tokens")).cast("long")
-    rows = rows.withColumn("upto", F.sum(counted).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    counted = F.when(F.col("system"), 0).otherwise(F.col("tokens"))
+    rows = rows.withColumn("upto", F.sum(counted).over(so_far)).withColumn("below", F.col("upto") - counted)
+    rows = rows.withColumn("capacity", F.greatest(F.lit(budget - history_tokens) - F.first(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(so_far), F.lit(1)))
+    begin, end = F.expr("below div capacity"), F.expr("greatest(upto - 1, 0) div capacity")
+    rows = rows.withColumn("mark", end).withColumn("across", begin != end)
+    last = F.max(F.when(~F.col("across"), F.col("upto"))).over(Window.partitionBy("conv_id", "mark"))
+    alone = F.col("across") & ~F.coalesce(last - F.col("below") <= F.col("capacity"), F.lit(False))
+    rows = rows.withColumn("span", 2 * F.col("mark") - alone.cast("long"))
+    rows = rows.withColumn("first", ~F.col("span").eqNullSafe(F.lag("span").over(order)))
+    return rows.withColumn("window", F.sum(F.col("first").cast("int")).over(so_far)).drop("mark", "across", "span", "capacity")
+
+
+def windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+    """Windows of ``turns(conv_id, turn, role, text)``.
+
+    (conv_id, window, formatted, n_tokens, n_repeated, n_new, loss): n_repeated turns lead and were shown before;
+    loss holds (start, length) code point ranges of ``formatted`` under the loss mask.
+    """
+    rows = spans(turns, budget, history_tokens)
+    order = Window.partitionBy("conv_id").orderBy("rn")
+    place = lambda window, new: F.struct(window.cast("int").alias("window"), F.lit(new).alias("new"))
+    shown = [place(F.col("window"), 1)]
+    for k in range(1, history_turns + 1):  # the k-th turn from here begins a span, and this one is near enough to be repeated there
+        ahead = lambda name, k=k: F.lead(name, k).over(order)
+        near = ahead("first") & ~F.col("system") & (ahead("below") - F.col("upto") + F.col("tokens") <= history_tokens)
+        shown.append(F.when(near, place(ahead("window"), 0)))
+    n_windows = F.max("window").over(Window.partitionBy("conv_id"))
+    again = F.when(F.col("system") & (n_windows > 1), F.transform(F.sequence(F.lit(2), n_windows.cast("int")), lambda w: place(w, 0)))
     role, text = escaped(F.col("role")), escaped(F.col("text"))
     head = F.concat(F.lit(TURN), role, F.lit(TEXT))
     rows = rows.select(
-        "conv_id",
-        F.struct(
-            "rn", "system", "tokens", "upto", (F.col("role") == "assistant").alias("target"), F.concat(head, text, F.lit(END)).alias("piece"),
-            F.char_length(head).alias("at"), F.char_length(text).alias("length"),
-        ).alias("t"),
+        "conv_id", "rn", "tokens", (F.col("role") == "assistant").alias("target"), F.concat(head, text, F.lit(END)).alias("piece"), F.char_length(head).alias("at"), F.char_length(text).alias("length"),
+        F.concat(F.array_compact(F.array(*shown)), F.coalesce(again, F.array().cast("array<struct<window:int,new:int>>"))).alias("shown"),
     )
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    first = F.col("turns")[0]
-    system_tokens = F.when(first["system"], first["tokens"]).otherwise(0)
-    whole = whole.withColumn("capacity", F.greatest(F.lit(budget - history_tokens) - system_tokens, F.lit(1)))
-    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("base"))
-    step = lambda s, t: F.when(
-        (F.size(s["starts"]) == 0) | (t["upto"] - s["base"] > F.col("capacity")),
-        F.struct(F.concat(s["starts"], F.array(t["rn"])).alias("starts"), (t["upto"] - F.when(t["system"], F.lit(0)).otherwise(t["tokens"])).alias("base")),
-    ).otherwise(s)
-    whole = whole.withColumn("starts", F.aggregate("turns", start, step)["starts"])
-    cut = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("starts")).alias("window"), F.col("starts").alias("first"), F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns") + 1)).alias("after")))
-    spans = whole.select("conv_id", "turns", cut.alias("c")).select("conv_id", "turns", "c.window", "c.first", "c.after")
-    low = F.greatest(F.col("first") - history_turns, F.lit(1))
-    before = F.when(F.col("first") > 1, F.col("turns")[F.col("first") - 2]["upto"]).otherwise(0)
-    near = F.slice("turns", low, F.col("first") - low)
-    history = F.filter(near, lambda t: ~t["system"] & (before - t["upto"] + t["tokens"] <= history_tokens))
-    system = F.when(F.col("turns")[0]["system"] & (F.col("first") > 1), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-    shown = spans.select("conv_id", "window", F.concat(system, history).alias("old"), F.slice("turns", F.col("first"), F.col("after") - F.col("first")).alias("new"))
-    chars = lambda part: F.aggregate(part, F.lit(0), lambda n, t: n + F.char_length(t["piece"]))
-    begin = F.struct(chars("old").alias("pos"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
-    place = lambda s, t: F.struct(
+    copies = rows.select("conv_id", "rn", "tokens", "target", "piece", "at", "length", F.inline("shown"))
+    parts = F.array_sort(F.collect_list(F.struct("new", "rn", "tokens", "target", "piece", "at", "length"))).alias("parts")
+    whole = copies.groupBy("conv_id", "window").agg(parts)
+    begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
+    step = lambda s, t: F.struct(
         (s["pos"] + F.char_length(t["piece"])).alias("pos"),
-        F.when(t["target"], F.concat(s["loss"], F.array(F.struct((s["pos"] + t["at"]).alias("start"), t["length"].alias("length"))))).otherwise(s["loss"]).alias("loss"),
+        F.when(t["target"] & (t["new"] == 1), F.concat(s["loss"], F.array(F.struct((s["pos"] + t["at"]).alias("start"), t["length"].alias("length"))))).otherwise(s["loss"]).alias("loss"),
     )
-    both = F.concat("old", "new")
-    return shown.select(
-        "conv_id", "window", F.array_join(F.transform(both, lambda t: t["piece"]), "").alias("formatted"), F.aggregate(both, F.lit(0), lambda n, t: n + t["tokens"]).alias("n_tokens"),
-        F.size("old").alias("n_repeated"), F.size("new").alias("n_new"), F.aggregate("new", begin, place)["loss"].alias("loss"),
+    total = lambda f: F.aggregate("parts", F.lit(0).cast("long"), lambda n, t: n + f(t))
+    return whole.select(
+        "conv_id", "window", F.array_join(F.transform("parts", lambda t: t["piece"]), "").alias("formatted"), total(lambda t: t["tokens"]).alias("n_tokens"),
+        (F.size("parts") - total(lambda t: t["new"])).cast("int").alias("n_repeated"), total(lambda t: t["new"]).cast("int").alias("n_new"), F.aggregate("parts", begin, step)["loss"].alias("loss"),
     )
 
 
@@ -117,18 +129,18 @@ def loss_texts(formatted: Column, loss: Column) -> Column:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, from windows alone: conv_id, n_windows, turns, losses (texts under the mask), formatted_chars."""
-    own = formatted.select("conv_id", F.struct("window", read_turns(F.col("formatted"), F.col("n_repeated")).alias("turns"), loss_texts(F.col("formatted"), F.col("loss")).alias("losses"), F.char_length("formatted").alias("chars")).alias("w"))
-    whole = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    flat = lambda name: F.flatten(F.transform("ws", lambda w: w[name]))
-    return whole.select("conv_id", F.size("ws").alias("n_windows"), flat("turns").alias("turns"), flat("losses").alias("losses"), F.aggregate("ws", F.lit(0).cast("long"), lambda n, w: n + w["chars"]).alias("formatted_chars"))
+    """Per window, from its text alone: conv_id, window, turns first shown there, losses (texts under the mask), chars."""
+    return formatted.select("conv_id", "window", read_turns(F.col("formatted"), F.col("n_repeated")).alias("turns"), loss_texts(F.col("formatted"), F.col("loss")).alias("losses"), F.char_length("formatted").alias("chars"))
 
 
-def digests(conversations: DataFrame) -> DataFrame:
+def digests(read: DataFrame) -> DataFrame:
+    """Per conversation of ``read_back``: counts and hashes of its turns and of the texts under the mask."""
     sha = lambda text: F.sha2(text.cast("binary"), 256)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    lost = F.array_join("losses", "")
-    return conversations.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"), F.char_length(lost).cast("long").alias("loss_chars"), sha(lost).alias("loss_sha256"), "formatted_chars", "n_windows")
+    own = read.select("conv_id", F.struct("window", said.alias("said"), F.array_join("losses", "").alias("lost")).alias("w"), F.size("turns").alias("n"), "chars")
+    whole = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("ws"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
+    joined = lambda name: F.array_join(F.transform("ws", lambda w: w[name]), "")
+    return whole.select("conv_id", "n_turns", sha(joined("said")).alias("turns_sha256"), F.char_length(joined("lost")).cast("long").alias("loss_chars"), sha(joined("lost")).alias("loss_sha256"), "formatted_chars", F.size("ws").alias("n_windows"))
 
 
 def query(conversations: DataFrame) -> DataFrame:

@@ -99,5 +99,26 @@ FROM d LEFT JOIN i USING (rid) LEFT JOIN c USING (rid)
 """
 
 
+_CONTROL = chat._REST.replace("'", "''")
+OP2_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+r AS (SELECT *, row_number() OVER w AS rn, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^ \t\n\x0B\f\r\p{{L}}\p{{N}}]')) + {chat.TURN_TOKENS} AS tokens,
+  length(regexp_replace(role, '([<\[])(\\*)({_CONTROL})', '\1\\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\\*)({_CONTROL})', '\1\\\2\3', 'g')) + {len(chat.TURN) + len(chat.TEXT) + len(chat.END)} AS chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+u AS (SELECT *, rn = 1 AND role = 'system' AS system FROM r),
+p AS (SELECT *, sum(CASE WHEN system THEN 0 ELSE tokens END) OVER w AS upto, greatest({chat.BUDGET - chat.HISTORY_TOKENS} - first_value(CASE WHEN system THEN tokens ELSE 0 END) OVER w, 1) AS cap
+  FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY rn)),
+b AS (SELECT *, upto - CASE WHEN system THEN 0 ELSE tokens END AS below FROM p),
+m AS (SELECT *, greatest(upto - 1, 0) // cap AS mark, below // cap <> greatest(upto - 1, 0) // cap AS across FROM b),
+k AS (SELECT *, 2 * mark - CASE WHEN across AND NOT coalesce(max(upto) FILTER (NOT across) OVER (PARTITION BY conv_id, mark) - below <= cap, false) THEN 1 ELSE 0 END AS span FROM m),
+f AS (SELECT *, span IS DISTINCT FROM lag(span) OVER (PARTITION BY conv_id ORDER BY rn) AS first FROM k),
+v AS (SELECT *, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY rn) AS win FROM f),
+g AS (SELECT s.conv_id, sum(t.chars) AS chars FROM v s JOIN v t ON s.conv_id = t.conv_id AND s.first AND s.rn > 1 AND (t.system OR t.rn BETWEEN s.rn - {chat.HISTORY_TURNS} AND s.rn - 1 AND s.below - t.upto + t.tokens <= {chat.HISTORY_TOKENS}) GROUP BY s.conv_id),
+a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS lost, sum(chars) AS chars, max(win) AS n_windows FROM v GROUP BY conv_id)
+SELECT a.conv_id, n_turns, turns_sha256, length(lost) AS loss_chars, sha256(lost) AS loss_sha256, CAST(a.chars + coalesce(g.chars, 0) AS BIGINT) AS formatted_chars, CAST(n_windows AS INT) AS n_windows FROM a LEFT JOIN g ON a.conv_id = g.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op10_benchmark_decontamination": OP10_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op10_benchmark_decontamination": OP10_SQL}
