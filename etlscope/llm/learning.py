@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .util import held_out
 
+#: Bytes of the longest text that is learned from; longer ones are scored like any other.
+LONGEST = 200_000
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, text, lang, y) of at most ``per_class`` labelled documents of each class, never held-out ones.
+    """(doc_id as text, text, lang, y) of at most ``per_class`` labelled documents of each class, never held-out ones.
 
     The ids are chosen on the label table alone, by a hash of doc_id, and are few enough to broadcast (two times
     ``per_class``), so no text is shuffled.  A document with several labels counts as 1 if any is 1.
@@ -17,10 +20,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("y"))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = docs.select("doc_id", "text", lang.alias("lang"))
+    lang = F.col("lang").cast("string") if "lang" in [c.lower() for c in docs.columns] else F.lit(None).cast("string")
+    own = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("text"), lang.alias("lang"))
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    return own.join(chosen, own["doc_id"] == chosen["_id"]).select("doc_id", "text", "lang", "y")
+    return own.join(chosen, own["doc_id"] == chosen["_id"].cast("string")).select("doc_id", "text", "lang", "y")
 
 
 def class_counts(labels: DataFrame, label: str) -> tuple[int, int]:

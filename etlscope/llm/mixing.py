@@ -21,7 +21,6 @@ absent categories are spread over the present ones; an empty table gives an empt
 from __future__ import annotations
 
 import warnings
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .util import materialize
+from .util import find, fresh, materialize
 
 TOPICS, TOPIC_BYTES = 8, 7
 SOURCE_POWER, LANG_POWER, TOPIC_POWER = 0.7, 0.8, 0.5
@@ -42,9 +41,14 @@ POWERS = dict(zip(DIMENSIONS, (SOURCE_POWER, LANG_POWER, TOPIC_POWER), strict=Tr
 NONE = "\x00none"
 
 
+def added(docs: DataFrame) -> dict[str, str]:
+    """Names for the columns that mixing adds, which ``docs`` does not have; their own unless taken."""
+    return {n: fresh(docs, n) for n in ("_mix_tokens", *DIMENSIONS, "_mix_weight", "_mix_probability", "_mix_selected")}
+
+
 def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``docs`` with _mix_tokens and the three cell columns added; nothing is shuffled."""
-    place = docs.columns.index("text")
+    """``docs`` with the token count and the three cell columns added, named as in ``added``; nothing is shuffled."""
+    place, names, bucket = docs.columns.index(find(docs, "text")), added(docs), fresh(docs, "_mix_bucket")
 
     def run(batches):
         for batch in batches:
@@ -56,13 +60,14 @@ def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
                 votes = np.bincount(words.doc[long] * TOPICS + (words.hash[long] >> np.uint64(61)).astype(np.int64), minlength=TOPICS * (j - i))
                 counts.append(words.count())
                 topics.append(votes.reshape(j - i, TOPICS).argmax(1).astype(np.int32))
-            added = [pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(topics), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_mix_tokens", "_mix_bucket"])
+            new = [pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(topics), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, names["_mix_tokens"], bucket])
 
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_mix_tokens", T.LongType()), T.StructField("_mix_bucket", T.IntegerType())]))
-    column = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(NONE)) if name in docs.columns else F.lit(NONE)
-    names = (column("source"), column("lang"), F.coalesce(topic.cast("string"), F.lit(NONE)) if topic is not None else F.col("_mix_bucket").cast("string"))
-    return out.withColumns(dict(zip(DIMENSIONS, names, strict=True))).drop("_mix_bucket")
+    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names["_mix_tokens"], T.LongType()), T.StructField(bucket, T.IntegerType())]))
+    has = {c.lower() for c in docs.columns}
+    column = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(NONE)) if name in has else F.lit(NONE)
+    values = (column("source"), column("lang"), F.coalesce(topic.cast("string"), F.lit(NONE)) if topic is not None else F.col(bucket).cast("string"))
+    return out.withColumns({names[d]: v for d, v in zip(DIMENSIONS, values, strict=True)}).drop(bucket)
 
 
 def tempered(sums: dict[str, float], power: float) -> dict[str, float]:
@@ -158,15 +163,15 @@ def _table_plan(cells: DataFrame, targets: dict[str, dict[str, float]] | None, k
         mass = share.agg(F.sum("share")).first()[0] or 1.0
         wanted[name] = materialize(share.select(name, (F.col("share") / mass).alias("share")), "targets")
     plan, error = cells.withColumn("weight", F.lit(1.0)), 0.0
+    offs = [f"off_{d}" for d in range(len(DIMENSIONS))]
     for _ in range(sweeps):
-        offs = []
-        for name in DIMENSIONS:
+        plan = plan.drop(*offs)
+        for name, off in zip(DIMENSIONS, offs, strict=True):
             have = plan.groupBy(name).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have")).join(wanted[name], name)
-            have = materialize(have.where("have > 0").select(name, (F.col("share") * total / F.col("have")).alias("ratio"), F.abs(F.col("have") / total - F.col("share")).alias("off")), "marginals")
-            offs.append(have.select("off"))
-            plan = plan.join(have.drop("off"), name, "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).drop("ratio")
-        plan = materialize(plan, "raked")
-        error = reduce(DataFrame.unionByName, offs).agg(F.max("off")).first()[0] or 0.0
+            have = have.where("have > 0").select(name, (F.col("share") * total / F.col("have")).alias("ratio"), F.abs(F.col("have") / total - F.col("share")).alias(off))
+            plan = plan.join(have, name, "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).drop("ratio")
+        plan = materialize(plan, "raked")  # one write a sweep; its rows carry how far each marginal was off
+        error = plan.agg(F.max(F.greatest(*[F.coalesce(o, F.lit(0.0)) for o in offs]))).first()[0] or 0.0
         if error < TOLERANCE:
             break
     report(error)
@@ -175,28 +180,30 @@ def _table_plan(cells: DataFrame, targets: dict[str, dict[str, float]] | None, k
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep_share: float = KEEP_SHARE, topic: Column | None = None, seed: int = 8, max_cells: int = MAX_CELLS) -> DataFrame:
-    """``docs`` with _mix_tokens, the cell columns, _mix_weight, _mix_probability and _mix_selected added.
+    """``docs`` with _mix_tokens, the cell columns, _mix_weight, _mix_probability and _mix_selected added (see ``added``).
 
     targets: ``{"_mix_source": {name: share}, "_mix_lang": ..., "_mix_topic": ...}``, each optional.
     """
-    celled = with_cells(docs, topic)
-    slim = with_cells(docs.select("text", *[c for c in ("source", "lang") if c in docs.columns]), topic) if topic is None else celled
-    cells = slim.groupBy(*DIMENSIONS).agg(F.sum("_mix_tokens").alias("tokens"))
+    celled, names, has = with_cells(docs, topic), added(docs), {c.lower() for c in docs.columns}
+    slim = with_cells(docs.select("text", *[c for c in ("source", "lang") if c in has]), topic) if topic is None else celled
+    own = names if topic is not None else dict(zip(names, names, strict=True))
+    cells = slim.groupBy(*[F.col(own[d]).alias(d) for d in DIMENSIONS]).agg(F.sum(own["_mix_tokens"]).alias("tokens"))
     head = cells.limit(max_cells + 1).collect() if max_cells else []
-    names = [F.col(n) for n in DIMENSIONS]
     if max_cells and len(head) <= max_cells:
         rows = _driver_plan(sorted(head, key=lambda r: tuple(r)[:3]), targets, keep_share)
         plan = F.broadcast(docs.sparkSession.createDataFrame(rows, "_mix_source string, _mix_lang string, _mix_topic string, weight double, probability double"))
     else:
         plan = _table_plan(materialize(cells, "cells"), targets, keep_share)
-    plan = plan.select(*[c.alias(f"{n}_") for c, n in zip(names, DIMENSIONS, strict=True)], F.col("weight").alias("_mix_weight"), F.col("probability").alias("_mix_probability"))
-    joined = celled.join(plan, [celled[n] == plan[f"{n}_"] for n in DIMENSIONS]).drop(*[f"{n}_" for n in DIMENSIONS])
-    uniform = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return joined.withColumn("_mix_selected", uniform < F.col("_mix_probability"))
+    joined = celled.join(plan, [celled[names[d]] == plan[d] for d in DIMENSIONS])
+    uniform = F.shiftrightunsigned(F.xxhash64(celled["doc_id"], F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return joined.select(
+        *[celled[c] for c in celled.columns], plan["weight"].alias(names["_mix_weight"]), plan["probability"].alias(names["_mix_probability"]), (uniform < plan["probability"]).alias(names["_mix_selected"])
+    )
 
 
 def query(docs: DataFrame) -> DataFrame:
-    out = mixed(docs.select("doc_id", "text", *[c for c in ("source", "lang") if c in docs.columns]))
+    has = {c.lower() for c in docs.columns}
+    out = mixed(docs.select("doc_id", "text", *[c for c in ("source", "lang") if c in has]))
     plain = lambda n: F.when(F.col(n) != NONE, F.col(n))
     return out.select(
         "doc_id", plain("_mix_source").alias("source"), plain("_mix_lang").alias("lang"), F.col("_mix_topic").cast("int").alias("topic"), F.col("_mix_tokens").alias("n_tokens"),
@@ -206,4 +213,4 @@ def query(docs: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The drawn rows of ``docs``, all columns."""
-    return mixed(docs, **options).where("_mix_selected").select(*docs.columns)
+    return mixed(docs, **options).where(F.col(added(docs)["_mix_selected"])).select(*docs.columns)

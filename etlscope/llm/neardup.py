@@ -10,9 +10,10 @@ bits.  Chains whose budget is below one bit must be equal, so the first ceil(m/t
 key; longer chains prune candidates before the full Hamming check.
 
 A key shared by more than ``CROWD`` distinct fingerprints is not paired.  Its members go another exact way: two
-fingerprints differ in at most 2 bits exactly if some value is at distance 1 or less from both, so each member
-visits the 65 values around it and all visitors of one value (65 at most) are linked to the least of them.  Work is
-thus linear in the number of distinct fingerprints, however dense a cluster is.
+fingerprints differ in at most 2k bits exactly if some value is at distance k or less from both, so each member visits
+the values around it (65 for a radius of 2) and all visitors of one value are linked to the least of them.  For a radius of 2k+1 one of
+the bits that differ is left out of the values, each bit in turn.  Work is thus linear in the number of distinct
+fingerprints, however dense a cluster is.  Both ways give the same components; radii go up to 4.
 
 Edge cases: null text is empty; a text without words has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle of the whole; repeated rows and repeated ids stay separate rows; a null doc_id never
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .simhash import block_value, blocks, hex16, vote_columns, vote_fingerprint
-from .util import ascii_lower, materialize, words
+from .util import ascii_lower, fresh, materialize, words
 
 SHINGLE, RADIUS, SEGMENTS, CROWD = 3, 2, 5, 128
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = SHINGLE, rid: Column | None = None) -> DataFrame:
     """(rid, doc_id, text_hash, fp) per row; the shuffle carries one row of sums per document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words(ascii_lower(F.col("text"))).alias("w"))
+    rid = rid if rid is not None else F.monotonically_increasing_id()
+    rows = docs.select(rid.alias("rid"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(ascii_lower(F.col("text"))).alias("w"))
     n = F.size("w") - (k - 1)
     names = [f"w{i}" for i in range(k)]
     zipped = F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.greatest(n, F.lit(0))).alias(name) for i, name in enumerate(names)])
@@ -58,10 +60,10 @@ def _chains(difference: Column, i: int, radius: int, segments: int) -> Column:
 def pigeonring_links(classes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) that connect all distinct ``classes.fp`` at Hamming distance ``radius`` or less.
 
-    Cold keys give every pair; crowded keys give, for radius 2 or less, star edges with the same components.
+    Cold keys give every pair; crowded keys give star edges with the same components.
     """
-    if not 1 <= radius < segments:
-        raise ValueError("radius must be at least 1 and below the number of segments")
+    if not 1 <= radius <= min(4, segments - 1):
+        raise ValueError("radius must be from 1 to 4 and below the number of segments")
     parts = blocks(segments)
     exact = -(-segments // radius) - 1  # chains so long have a budget below one bit
     tables = []
@@ -90,49 +92,56 @@ def pigeonring_links(classes: DataFrame, radius: int = RADIUS, segments: int = S
     return pairs.unionByName(_ball_links(crowded, radius)).distinct()
 
 
+def _flips(bits: int) -> Column:
+    """Array of all 64-bit values with at most ``bits`` (0 to 2) bits set."""
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+    out = F.array(F.lit(0).cast("long"))
+    if bits >= 1:
+        out = F.concat(out, F.transform(F.sequence(F.lit(0), F.lit(63)), one))
+    if bits >= 2:
+        pairs = F.transform(F.sequence(F.lit(1), F.lit(63)), lambda a: F.transform(F.sequence(F.lit(0), a - 1), lambda b: one(a) + one(b)))
+        out = F.concat(out, F.flatten(pairs))
+    return out
+
+
 def _ball_links(members: DataFrame, radius: int) -> DataFrame:
-    """Star edges among fingerprints that are both near some value: exact for radius 1 and 2."""
-    if radius > 2:
-        raise ValueError("crowded keys can be linked for a radius of 2 at most")
-    flips = [F.lit(0).cast("long")]
-    if radius == 2:
-        flips += [F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(64)]
-        around = members.select("fp", F.explode(F.array(*flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
-    else:  # a and b differ in bit j: both become the same value with that bit cleared, and the bit is known
-        cleared = [F.struct(F.lit(b).alias("bit"), F.lit(~(1 << b)).cast("long").alias("mask")) for b in range(63)] + [F.struct(F.lit(63).alias("bit"), F.lit((1 << 63) - 1).cast("long").alias("mask"))]
-        around = members.select("fp", F.explode(F.array(*cleared)).alias("x")).select("fp", F.struct(F.col("x.bit"), F.col("fp").bitwiseAND(F.col("x.mask"))).alias("z"))
-    met = around.groupBy("z").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)  # 65 at most
-    return met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a != b")
-
-
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id, keep) per row of ``docs(doc_id, text)``.
+    """Star edges among fingerprints that are both near some value; exact."""
+    around = members.select("fp", F.explode(_flips(radius // 2)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"), F.lit(-1).alias("bit"))
+    if radius % 2:  # one of the bits in which both differ does not count: each bit in turn is cleared
+        around = around.select("fp", "z", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+        around = around.select("fp", F.col("z").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))).alias("z"), "bit").distinct()
+    met = around.groupBy("z", "bit").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)  # as many as are within the radius of one value
+    return met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a != b").distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS, crowd: int = CROWD, rid: Column | None = None) -> DataFrame:
+    """(rid, doc_id, fp, component_id, keep) per row of ``docs(doc_id, text)``.
 
     component_id is the least doc_id reachable over links, the row's own included; keep marks one row of each
-    component, the first by (doc_id, position).
+    component, the first by (doc_id, position).  ``rid``: a column that numbers the rows, if there is one.
     """
-    prints = materialize(fingerprints(docs, k), "fingerprints")
+    prints = materialize(fingerprints(docs, k, rid), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("rid"))).alias("first")
     classes = materialize(prints.groupBy("fp").agg(first), "classes")
     roots = connected(pigeonring_links(classes.select("fp"), radius, segments, crowd))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = joined.groupBy("root").agg(F.min("first").alias("best"))
     placed = joined.join(best, "root").select("fp", "best")
-    return prints.join(placed, "fp").select("doc_id", "text_hash", "fp", F.col("best.doc_id").alias("component_id"), (F.col("rid") == F.col("best.rid")).alias("keep"))
+    return prints.join(placed, "fp").select("rid", "doc_id", "fp", F.col("best.doc_id").alias("component_id"), (F.col("rid") == F.col("best.rid")).alias("keep"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of ``docs``, all columns, for each (doc_id, text_hash) of ``kept``."""
-    kept = kept.select(F.col("doc_id").alias("_nd_id"), F.col("text_hash").alias("_nd_hash"))
-    own = docs.withColumn("_nd_own", F.xxhash64("text"))
-    joined = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_nd_id")) & (F.col("_nd_own") == F.col("_nd_hash")))
-    return joined.dropDuplicates(["doc_id", "_nd_own"]).select(*[docs[c] for c in docs.columns])
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a row number, and the name of that column."""
+    rid = fresh(docs, "rid")
+    return materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that near_duplicates keeps: one of each group."""
-    return rows_kept(docs, near_duplicates(docs, **options).where("keep"))
+    """The rows of ``docs``, all columns, that near_duplicates keeps: one of each group.  Texts are shuffled once at most."""
+    own, rid = numbered(docs)
+    kept = near_duplicates(own, rid=F.col(rid), **options).where("keep").select(F.col("rid").alias(rid))
+    return own.join(kept, rid, "left_semi").select(*docs.columns)

@@ -2,11 +2,12 @@
 
 Statistics of the whole text (lengths, character shares, repetition, vocabulary) are transformed (logarithms, square
 roots of shares), standardised, and modelled per class by a Gaussian whose covariance is shrunk towards a multiple of
-the identity.  The Cholesky factor and log-determinant of each class are computed once; a score is the difference of
-the two log-densities (Mahalanobis terms by triangular solves), mapped to 0..1 by a logistic calibration.
+the identity.  The Cholesky factor of each class is inverted once and kept with its log-determinant; a score is the
+difference of the two log-densities (a Mahalanobis term is the squared length of the whitened vector, one product with
+the kept inverse factor), mapped to 0..1 by a logistic calibration.
 
-The model is fitted on at most ``PER_CLASS`` labelled documents of each class, never held-out ones; the shrinkage
-weight is chosen by cross-validation there.
+The model is fitted on at most ``PER_CLASS`` labelled documents of each class (texts of ``learning.LONGEST`` bytes at most),
+never held-out ones; the shrinkage weight is chosen by cross-validation there.
 
 Edge cases: null and empty texts have all statistics zero and get a score like any text; without labels of both
 classes each score is the share of positive labels (0.5 if none); repeated rows are scored alike; whole texts are
