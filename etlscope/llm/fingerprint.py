@@ -101,7 +101,7 @@ def near_counts(prints: DataFrame, asked: Column, radius: int = RADIUS) -> DataF
     classes = prints.groupBy("fp").agg(F.count("*").alias("n"))
     queries = prints.where(asked).select("fp").distinct()
     pairs = within_radius(queries, classes.select("fp"), radius)
-    return pairs.join(classes, "fp").groupBy(F.col("query_fp").alias("fp")).agg(F.sum("n").alias("n_near"))
+    return pairs.join(classes.hint("merge"), "fp").groupBy(F.col("query_fp").alias("fp")).agg(F.sum("n").alias("n_near"))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def query(docs: DataFrame) -> DataFrame:
     base = materialize(fingerprinted(docs), "fingerprints")
     asked = F.col("doc_id") % QUERY_EVERY == 0
     near = near_counts(base.select("doc_id", "fp"), asked)
-    joined = base.join(near, "fp", "left")
+    joined = base.join(near.hint("merge"), "fp", "left")  # both sides grow with the corpus: never broadcast
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),

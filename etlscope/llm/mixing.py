@@ -76,13 +76,13 @@ def tempered(sums: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake(codes: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS) -> tuple[np.ndarray, float]:
+def rake(codes: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray], sweeps: int | None = None) -> tuple[np.ndarray, float]:
     """Cell weights whose token sums have the target shares of each dimension, and the largest error left.
 
     codes: cells x dimensions; targets: shares by code.
     """
     weight, total, error = np.ones(len(tokens)), max(tokens.sum(), 1e-300), 0.0
-    for _ in range(sweeps):
+    for _ in range(sweeps or SWEEPS):
         error = 0.0
         for d, share in enumerate(targets):
             have = np.bincount(codes[:, d], tokens * weight, len(share)).astype(float)
@@ -149,7 +149,7 @@ def _table_rate(live: DataFrame, budget: float) -> float:
         rate, at_one = (budget - (full or 0)) / open_, n
 
 
-def _table_plan(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep_share: float, sweeps: int = SWEEPS) -> DataFrame:
+def _table_plan(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep_share: float, sweeps: int | None = None) -> DataFrame:
     """The same as a DataFrame, for any number of cells."""
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -164,7 +164,7 @@ def _table_plan(cells: DataFrame, targets: dict[str, dict[str, float]] | None, k
         wanted[name] = materialize(share.select(name, (F.col("share") / mass).alias("share")), "targets")
     plan, error = cells.withColumn("weight", F.lit(1.0)), 0.0
     offs = [f"off_{d}" for d in range(len(DIMENSIONS))]
-    for _ in range(sweeps):
+    for _ in range(sweeps or SWEEPS):
         plan = plan.drop(*offs)
         for name, off in zip(DIMENSIONS, offs, strict=True):
             have = plan.groupBy(name).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have")).join(wanted[name], name)
