@@ -1,32 +1,46 @@
-"""Fact tables of many rules as DataFrames, and scope resolution by joins.
+"""Fact tables of many rules as DataFrames.
 
-Parsing is the only driver-side step: distinct texts are parsed once each, on a few threads.  Facts of all rules are one
-set of DataFrames keyed by rule_code, so every later operator runs over any number of rules at once.
+Parsing is the only driver-side step: Spark's parser lives there.  Distinct texts are parsed once each, on threads, in batches of
+``BATCH`` whose facts are written before the next begins, so a catalog of any size passes through a bounded driver.
+Facts of all rules are one set of DataFrames keyed by rule_code, so every later operator runs over any number of rules at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.names import short_name
-from .cut import cut
-from .frontend import PRIORITY, parse
+from .cut import new_folder
+from .frontend import PRIORITY, Facts, parse, parser_session
+from .resolve import Resolved, Resolver
 
 RULE = """rule_code string, rule_name string, rule_type int, exec_sequence int, target_schema string, target_table string, delete_mode string,
 delete_condition string, query_sql string, project_code string, data_source string, business_owner string, rule_group_code string,
 rule_group_en string, exchange_source_table string, is_view_step boolean, row_ord int"""
 SCHEMAS = {
     "scopes": "rule_code string, scope int, parent int, kind string, ord int, alias string, depth int, branch int",
-    "refs": "rule_code string, scope int, ord int, kind string, name string, alias string, join_type string, condition string, role string, child int",
-    "columns": "rule_code string, scope int, position int, name string, expression string, transform string, constant string",
+    "refs": "rule_code string, scope int, ord int, kind string, name string, alias string, join_type string, condition string, role string, child int, using string, bare boolean",
+    "columns": "rule_code string, scope int, position int, name string, expression string, transform string, constant string, root string, cast_type string",
     "sources": "rule_code string, scope int, position int, ord int, alias string, field string",
-    "usage": "rule_code string, scope int, kind string, join_type string, text string, alias string, field string",
+    "outputs": "rule_code string, scope int, branch int, leaf int, position int, name string, output string, expression string, transform string, constant string, root string, cast_type string",
+    "edges": "rule_code string, output string, transform string, source_table string, source_field string, branch int, path_depth int, root string, cast_type string",
+    "usage": "rule_code string, scope int, kind string, join_type string, text string, alias string, field string, table string",
+    "pairs": "rule_code string, scope int, ord int, alias string, field string, table string, other_alias string, other_field string, other_table string",
+    "results": "rule_code string, output string, ord int, table string, field string, constant string",
+    "keys": "rule_code string, alias string, field string, table string, source_field string",
+    "paths": "rule_code string, scope int, alias string, hop int, from_alias string, to_alias string, from_table string, to_table string, join_type string, condition string",
     "status": "rule_code string, ok boolean, error string, star boolean, joins int, subqueries int, case_branches int",
 }
+BATCH = 4000  # rules parsed at a time
 #: Rule types whose SQL is parsed; those skipped on read; that hold variables.
 SELECT_TYPES, SKIPPED_TYPES, VARIABLE_TYPE = (1, 14), (10, 11, 13, 15), 12
 
@@ -38,24 +52,105 @@ class FactTables:
     refs: DataFrame
     columns: DataFrame
     sources: DataFrame
+    outputs: DataFrame
+    edges: DataFrame
     usage: DataFrame
+    pairs: DataFrame
+    results: DataFrame
+    keys: DataFrame
+    paths: DataFrame
     status: DataFrame
 
 
-def extract(spark: SparkSession, rules: DataFrame, threads: int = 4) -> FactTables:
-    """Parse the SELECT rules of ``rules`` (schema RULE) into fact tables."""
-    rows = rules.where(F.col("rule_type").isin(*SELECT_TYPES) & (F.coalesce(F.trim("query_sql"), F.lit("")) != "")).select("rule_code", "query_sql").collect()
-    texts = sorted({r["query_sql"] for r in rows})
-    with ThreadPoolExecutor(threads) as pool:
-        parsed = dict(zip(texts, pool.map(lambda t: parse(spark, t), texts), strict=True))
-    out: dict[str, list[tuple]] = {name: [] for name in SCHEMAS}
-    for r in rows:
-        f = parsed[r["query_sql"]]
-        for name in out:
-            out[name] += [(r["rule_code"], *x) for x in ([f.status] if name == "status" else getattr(f, name))]
-    # thousands of rows at most: one partition each
-    frames = {name: spark.createDataFrame(x, SCHEMAS[name]).coalesce(1) for name, x in out.items()}
-    return FactTables(rules, **frames)
+def _known(ddl: DataFrame | None, names: set[str]) -> dict[str, list[str]]:
+    """Columns of the named tables, in the order of the DDL table."""
+    out: dict[str, list[str]] = {}
+    if ddl is not None and names:
+        for r in ddl.where(F.col("table").isin(sorted(names))).select("table", "column").toLocalIterator():
+            out.setdefault(r["table"], []).append(r["column"])
+    return out
+
+
+def _rows(code: str, f: Facts, r: Resolved) -> dict[str, list[tuple]]:
+    lists = {"scopes": f.scopes, "refs": f.refs, "columns": f.columns, "sources": f.sources, "status": [f.status]}
+    lists |= {n: getattr(r, n) for n in ("outputs", "edges", "usage", "pairs", "results", "keys", "paths")}
+    return {n: [(code, *x) for x in rows] for n, rows in lists.items()}
+
+
+def _table(name: str, rows: list[tuple]) -> pa.Table:
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMAS[name]))
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _short(name: str) -> str:
+    return name.lower().rsplit(".", 1)[-1]
+
+
+def extract(spark: SparkSession, rules: DataFrame, threads: int = 8, ddl: DataFrame | None = None, batch: int = BATCH) -> FactTables:
+    """Parse the SELECT rules of ``rules`` (schema RULE) into fact tables.
+
+    ``ddl(table, column, ...)`` tells what a star stands for and which table an unqualified column is of; where it does not know
+    a table that another rule writes, that rule's output columns do.
+    """
+    wanted = rules.where(F.col("rule_type").isin(*SELECT_TYPES) & (F.coalesce(F.trim("query_sql"), F.lit("")) != "")).select("rule_code", "query_sql", F.lower("target_table").alias("target"))
+    it: Iterator = iter(wanted.toLocalIterator())
+    parts: dict[str, list[pa.Table]] = {n: [] for n in SCHEMAS}
+    folder, n_batches = None, 0
+    written: dict[str, list[str]] = {}  # columns of tables that rules write
+    waiting: list[tuple[str, str, Facts]] = []  # rules with stars of tables not known yet
+
+    def store(rows: dict[str, list[tuple]]) -> None:
+        for n, x in rows.items():
+            parts[n].append(_table(n, x))
+
+    def resolved(code: str, target: str, facts: Facts, known: dict[str, list[str]], last: bool) -> bool:
+        r = Resolver(facts, known).run()
+        if r.open_stars and not last:
+            return False
+        written.setdefault(_short(target), list(dict.fromkeys(x[5] for x in r.outputs if x[0] == 1 and x[1] == 0)) if not r.open_stars else [])
+        for n, x in _rows(code, facts, r).items():
+            gathered[n].extend(x)
+        return True
+
+    session = parser_session(spark)
+    with ThreadPoolExecutor(threads, initializer=lambda: spark._jvm.org.apache.spark.sql.SparkSession.setActiveSession(session)) as pool:
+        while rows := list(islice(it, batch)):
+            gathered: dict[str, list[tuple]] = {n: [] for n in SCHEMAS}
+            texts = sorted({r["query_sql"] for r in rows})
+            parsed = dict(zip(texts, pool.map(lambda t: parse(spark, t, session), texts), strict=True))
+            known = _known(ddl, {_short(r[3]) for f in parsed.values() for r in f.refs if r[2] == "table"})
+            for r in rows:
+                if not resolved(r["rule_code"], r["target"], parsed[r["query_sql"]], known, False):
+                    waiting.append((r["rule_code"], r["target"], parsed[r["query_sql"]]))
+            if n_batches == 1:
+                folder = new_folder(spark, "facts")
+            store(gathered)
+            n_batches += 1
+            if folder:
+                _flush(spark, parts, folder)
+    # stars over tables that rules write, until no more becomes known
+    gathered = {n: [] for n in SCHEMAS}
+    while waiting:
+        known = {k: v for k, v in written.items() if v} | _known(ddl, {_short(r[3]) for _, _, f in waiting for r in f.refs if r[2] == "table"})
+        left = [w for w in waiting if not resolved(*w, known, False)]
+        if len(left) == len(waiting):
+            for w in left:
+                resolved(*w, known, True)
+            left = []
+        waiting = left
+    store(gathered)
+    if folder:
+        _flush(spark, parts, folder)
+        return FactTables(rules, **{n: spark.read.schema(SCHEMAS[n]).parquet(f"{folder}/{n}") for n in SCHEMAS})
+    return FactTables(rules, **{n: spark.createDataFrame(pa.concat_tables(parts[n])) for n in SCHEMAS})
+
+
+def _flush(spark: SparkSession, parts: dict[str, list[pa.Table]], folder: str) -> None:
+    for n, tables in parts.items():
+        if tables:
+            spark.createDataFrame(pa.concat_tables(tables)).write.mode("append").parquet(f"{folder}/{n}")
+            tables.clear()
 
 
 def priority(transform) -> F.Column:
@@ -72,71 +167,26 @@ def step_tables(facts: FactTables) -> DataFrame:
 
 
 def output_columns(facts: FactTables) -> DataFrame:
-    """(rule_code, scope, branch, leaf, position, ...): output columns of every scope; set branches by position.
+    """(rule_code, scope, branch, leaf, position, name, output, ...): output columns of every scope; set branches by position.
 
     ``scope`` is the scope whose output it is, ``leaf`` the select that computes it; a set operation has a row for each
     branch, named after its first branch.
     """
-    up = facts.scopes.where(F.col("kind") == "branch").select("rule_code", F.col("scope").alias("leaf"), F.col("parent").alias("scope"), "branch")
-    own = facts.scopes.where(F.col("kind") != "branch").select("rule_code", F.col("scope").alias("leaf"), "scope", F.lit(0).alias("branch"))
-    cols = facts.columns.withColumnRenamed("scope", "leaf").join(up.unionByName(own), ["rule_code", "leaf"])
-    first = cols.where(F.col("branch") == 0).select("rule_code", "scope", "position", F.col("name").alias("output"))
-    return cols.join(first, ["rule_code", "scope", "position"], "left").withColumn("output", F.coalesce("output", "name"))
-
-
-def column_links(facts: FactTables) -> DataFrame:
-    """Each column reference of a select, resolved one step: to a physical table, or to a column of a child scope.
-
-    (rule_code, leaf, position, ord, alias, field, kind, table, child); an unqualified column belongs to the only
-    FROM-type relation of its select, else it stays unresolved (kind null).
-    """
-    only = facts.refs.groupBy("rule_code", "scope").agg(F.count("*").alias("n"), F.min("alias").alias("only_alias"))
-    src = facts.sources.join(only, ["rule_code", "scope"], "left")
-    src = src.withColumn("alias", F.when((F.col("alias") == "") & (F.col("n") == 1), F.col("only_alias")).otherwise(F.col("alias")))
-    refs = facts.refs.select("rule_code", "scope", "alias", "kind", F.col("name").alias("table"), "child").dropDuplicates(["rule_code", "scope", "alias"])
-    return src.join(refs, ["rule_code", "scope", "alias"], "left").select("rule_code", F.col("scope").alias("leaf"), "position", "ord", "alias", "field", "kind", "table", "child")
+    return facts.outputs
 
 
 def field_edges(facts: FactTables) -> DataFrame:
-    """(rule_code, output, transform, source_table, source_field, branch, path_depth) of each rule's output columns.
+    """(rule_code, output, transform, source_table, source_field, branch, path_depth, root, cast_type) of each rule's output columns.
 
     References are followed through CTEs and derived tables, at any nesting and through every set branch, to the
-    physical tables of the rule's own SQL.  ``transform`` is the heaviest on the way; a path never visits a column of a
-    scope twice, so recursion ends.
+    physical tables of the rule's own SQL.  ``transform`` is the heaviest on the way; recursion adds nothing.
     """
-    out = output_columns(facts).select("rule_code", "scope", "branch", "leaf", "position", "output", "transform")
-    links = column_links(facts)
-    step = out.join(links, ["rule_code", "leaf", "position"]).select(
-        "rule_code", "scope", "branch", "output", "transform", "kind", "table", "field", "child"
-    )
-    node = lambda c, f: F.concat_ws(".", F.col(c).cast("string"), f)
-    roots = step.where(F.col("scope") == 1).select("rule_code", "branch", "output", priority(F.col("transform")).alias("rank"), "kind", "table", "field", "child", F.lit(1).alias("depth"), F.array(node("child", "field")).alias("path"))
-    inner = step.select("rule_code", F.col("scope").alias("child"), F.col("output").alias("field"), priority(F.col("transform")).alias("rank2"), F.col("kind").alias("kind2"), F.col("table").alias("table2"), F.col("field").alias("field2"), F.col("child").alias("child2"))
-    done, level = roots.where("child is null"), roots.where("child is not null")
-    inner = cut(inner)  # column references of a rule catalog, read once a level
-    while True:
-        level = level.join(inner, ["rule_code", "child", "field"]).where(F.col("child2").isNull() | ~F.array_contains("path", node("child2", "field2"))).select(
-            "rule_code", "branch", "output", F.greatest("rank", "rank2").alias("rank"), F.col("kind2").alias("kind"), F.col("table2").alias("table"), F.col("field2").alias("field"), F.col("child2").alias("child"), (F.col("depth") + 1).alias("depth"),
-            F.concat("path", F.array(node("child2", "field2"))).alias("path"),
-        ).distinct()
-        level = cut(level)
-        if level.isEmpty():
-            break
-        done = done.unionByName(level.where("child is null"))
-        level = level.where("child is not null")
-    names = F.lit("unknown")
-    for name, rank in PRIORITY.items():
-        names = F.when(F.col("rank") == rank, name).otherwise(names)
-    return done.groupBy("rule_code", "output", F.col("table").alias("source_table"), F.col("field").alias("source_field"), "branch").agg(F.max("rank").alias("rank"), F.max("depth").alias("path_depth")).select(
-        "rule_code", "output", names.alias("transform"), "source_table", "source_field", "branch", "path_depth"
-    )
+    return facts.edges
 
 
 def usages(facts: FactTables) -> DataFrame:
     """(rule_code, kind, join_type, alias, field, table): join, where, group and having columns of all scopes, once each."""
-    refs = facts.refs.select("rule_code", "scope", "alias", F.col("name").alias("table")).dropDuplicates(["rule_code", "scope", "alias"])
-    used = facts.usage.where("field is not null").join(refs, ["rule_code", "scope", "alias"], "left")
-    return used.select("rule_code", "kind", "join_type", "alias", "field", F.nullif("table", F.lit("")).alias("table")).distinct()
+    return facts.usage.where("field is not null").select("rule_code", "kind", "join_type", "alias", "field", "table").distinct()
 
 
 def short(name: str) -> F.Column:

@@ -182,6 +182,23 @@ def case_results(e: Node) -> list[Node]:
     return [c for i, c in enumerate(e.children) if i % 2 == 1 or i == len(e.children) - 1] if e.kind == "CaseWhen" else []
 
 
+def root_of(e: Node) -> tuple[str, str | None]:
+    """What makes the value: function name, cast (and to which type), case, or empty."""
+    e = unalias(e)
+    if e.kind == "Cast":
+        return "cast", type_text(e.raw.get("dataType")).lower()
+    return ("case", None) if e.kind == "CaseWhen" else (function_name(e), None)
+
+
+def equalities(e: Node) -> list[tuple[tuple[str, str], tuple[str, str]]]:
+    """(column, column) of each equality between two columns that AND joins."""
+    if e.kind == "And":
+        return [x for c in e.children for x in equalities(c)]
+    if e.kind in ("EqualTo", "EqualNullSafe") and all(c.kind == "UnresolvedAttribute" for c in e.children):
+        return [tuple(columns(c)[0] for c in e.children)]
+    return []
+
+
 def inferred_name(e: Node, position: int, comment: str | None) -> str:
     """AS alias, column name, /* name */ comment, known audit value, else _col_i."""
     if e.kind == "Alias":
@@ -205,23 +222,30 @@ def inferred_name(e: Node, position: int, comment: str | None) -> str:
 @dataclass
 class Facts:
     scopes: list[tuple] = field(default_factory=list)  # scope, parent, kind, ord, alias, depth, branch
-    refs: list[tuple] = field(default_factory=list)  # scope, ord, kind, name, alias, join_type, condition, role, child
-    columns: list[tuple] = field(default_factory=list)  # scope, position, name, expression, transform, constant
+    refs: list[tuple] = field(default_factory=list)  # scope, ord, kind, name, alias, join_type, condition, role, child, using, bare
+    columns: list[tuple] = field(default_factory=list)  # scope, position, name, expression, transform, constant, root, cast_type
     sources: list[tuple] = field(default_factory=list)  # scope, position, ord, alias, field
     usage: list[tuple] = field(default_factory=list)  # scope, kind, join_type, text, alias, field
+    pairs: list[tuple] = field(default_factory=list)  # scope, ord of the joined relation, alias, field, alias, field
+    results: list[tuple] = field(default_factory=list)  # scope, position, ord, alias, field, constant: THEN and ELSE values
+    stars: dict = field(default_factory=dict)  # (scope, position) -> (alias, left out columns)
     status: tuple = (True, None, False, 0, 0, 0)  # ok, error, star, joins, subqueries, case branches
 
 
 _SET = {"Union": "union", "Intersect": "intersect", "Except": "except"}
-_THROUGH = {"GlobalLimit", "LocalLimit", "Sort", "Distinct", "Offset", "WithWindowDefinition", "Deduplicate", "UnresolvedSubqueryColumnAliases", "ResolvedHint", "UnresolvedHint"}
+_THROUGH = {"GlobalLimit", "LocalLimit", "Sort", "Distinct", "Offset", "WithWindowDefinition", "Deduplicate", "UnresolvedSubqueryColumnAliases", "ResolvedHint", "UnresolvedHint", "Sample"}
+_QUERIES = {"Project", "Aggregate", "UnresolvedHaving", "UnresolvedWith", *_SET}
+_STARS = ("UnresolvedStar", "UnresolvedStarBase", "UnresolvedStarExceptOrReplace")
 
 
 class _Walker:
-    def __init__(self, comments: list[str | None]):
+    def __init__(self, comments: list[str | None], unconditioned: set[str] = frozenset()):
+        self.unconditioned = unconditioned
         self.facts = Facts()
         self.comments = comments
         self.n_scopes = 0
         self.star = False
+        self.using = ""
         self.joins = self.subs = self.cases = 0
 
     def scope(self, parent: int | None, kind: str, ord_: int, alias: str, depth: int, branch: int = 0) -> int:
@@ -273,10 +297,14 @@ class _Walker:
         for i, e in enumerate(items):
             comment = self.comments[i] if me == 1 and i < len(self.comments) else None
             inner = unalias(e)
-            if inner.kind in ("UnresolvedStar", "UnresolvedStarBase"):
+            if inner.kind in _STARS:
                 self.star = True
+                target = parts(inner.raw.get("target") or "")
+                self.facts.stars[me, i] = (target[-1].lower() if target else "", tuple(x.lower() for e in inner.raw.get("excepts") or [] for x in parts(e)))
             self.cases += sum(len(n.children) // 2 for n in e.walk() if n.kind == "CaseWhen")
-            f.columns.append((me, i, inferred_name(e, i, comment), sql_of(unalias(e)), classify(e), constant_type(e)))
+            f.columns.append((me, i, inferred_name(e, i, comment), sql_of(unalias(e)), classify(e), constant_type(e), *root_of(e)))
+            for k, r in enumerate(case_results(e)):
+                f.results += [(me, i, k, *c, None) for c in columns(r)[:1] if r.kind == "UnresolvedAttribute"] or [(me, i, k, None, None, constant_type(r))] * (r.kind == "Literal")
             f.sources += [(me, i, k, a, c) for k, (a, c) in enumerate(columns(e))]
             self.nested(e, me, depth, ctes)
         if plan.kind == "Filter":
@@ -287,7 +315,7 @@ class _Walker:
             self.relation(plan, me, depth, ctes, [0], "FROM", None, role)
 
     def use(self, me: int, kind: str, join: str, e: Node, depth: int, ctes: dict[str, int]) -> None:
-        refs = columns(e) if kind != "group" or unalias(e).kind == "UnresolvedAttribute" else []
+        refs = columns(e) if kind != "group" or unalias(e).kind in ("UnresolvedAttribute", "Rollup", "Cube", "GroupingSets") else []
         self.facts.usage += [(me, kind, join, sql_of(e), a, c) for a, c in refs] or [(me, kind, join, sql_of(e), None, None)]
         self.nested(e, me, depth, ctes)
 
@@ -302,13 +330,32 @@ class _Walker:
             text = kind.get("object", kind.get("product-class", "")).rsplit(".", 1)[-1].rstrip("$") if isinstance(kind, dict) else str(kind)
             if isinstance(kind, dict) and "tpe" in kind:
                 text = kind["tpe"].get("object", "").rsplit(".", 1)[-1].rstrip("$")
-            on = plan.trees("condition")
+            on, using = plan.trees("condition"), []
+            if isinstance(kind, dict):
+                using = [x.lower() for x in parts(str(kind.get("usingColumns") or ""))] or (["*"] if str(kind.get("product-class", "")).endswith("NaturalJoin") else [])
             self.joins += 1
             self.relation(plan.children[0], me, depth, ctes, ord_, join, condition, role)
-            label = JOIN_LABEL.get(text, "INNER JOIN")
+            label, here = JOIN_LABEL.get(text, "INNER JOIN"), ord_[0]
+            self.using = ", ".join(using)
             self.relation(plan.children[1], me, depth, ctes, ord_, label, on[0] if on else None, "secondary")
-            if on:
-                self.use(me, "join", label, on[0], depth, ctes)
+            left, right = ([r[4] for r in self.facts.refs if r[0] == me and r[1] < here] or [""])[-1], next((r[4] for r in self.facts.refs if r[0] == me and r[1] == here), "")
+            for e in on:
+                self.use(me, "join", label, e, depth, ctes)
+                self.facts.pairs += [(me, here, *a, *b) for a, b in equalities(e)]
+            for c in using if using != ["*"] else []:
+                self.facts.usage += [(me, "join", label, f"USING ({self.listed(using)})", a, c) for a in (left, right)]
+                self.facts.pairs.append((me, here, left, c, right, c))
+            return
+        if plan.kind == "Generate":  # LATERAL VIEW: its columns come from those of the generator's arguments
+            for c in plan.children:
+                self.relation(c, me, depth, ctes, ord_, join, condition, role)
+            self.generated(plan, me, ord_)
+            return
+        if plan.kind == "LateralJoin":
+            for c in plan.children:
+                self.relation(c, me, depth, ctes, ord_, join, condition, role)
+            for e in plan.trees("right"):
+                self.nested(e, me, depth, ctes)
             return
         alias = ""
         while plan.kind in ("SubqueryAlias", *_THROUGH):
@@ -318,14 +365,39 @@ class _Walker:
         text = sql_of(condition) if condition is not None else None
         n = ord_[0]
         ord_[0] += 1
+        using, self.using = self.using, ""
         if plan.kind == "UnresolvedRelation":
             names = [p.lower() for p in parts(plan.raw["multipartIdentifier"])]
             full, is_cte = ".".join(names), len(names) == 1 and names[0] in ctes
-            self.facts.refs.append((me, n, "cte" if is_cte else "table", full, alias or names[-1], join, text, role, ctes[names[0]] if is_cte else None))
-        else:
+            self.facts.refs.append((me, n, "cte" if is_cte else "table", full, alias or names[-1], join, text, role, ctes[names[0]] if is_cte else None, using, self.bare(alias or names[-1], text, using)))
+        elif plan.kind in _QUERIES or (plan.kind == "Filter" and plan.children[0].kind in _QUERIES):
             self.subs += 1
             child = self.query(plan, me, "derived", n, alias, depth + 1, ctes, role)
-            self.facts.refs.append((me, n, "derived", "", alias, join, text, role, child))
+            self.facts.refs.append((me, n, "derived", "", alias, join, text, role, child, using, self.bare(alias, text, using)))
+        elif plan.children:  # PIVOT and other nodes around relations: what they read is kept
+            for c in plan.children:
+                self.relation(c, me, depth, ctes, ord_, join, condition, role)
+        else:  # inline rows, table functions
+            self.facts.refs.append((me, n, "values", "", alias, join, text, role, None, using, False))
+
+    def generated(self, plan: Node, me: int, ord_: list[int]) -> None:
+        """A scope whose columns are the generator's output, read from the scope around it."""
+        e, alias = plan.trees("generator")[0], str(plan.raw.get("qualifier") or "").lower()
+        child = self.scope(me, "generated", ord_[0], alias, 0)
+        for i, out in enumerate(plan.trees("generatorOutput")):
+            name = parts(out.raw["nameParts"])[-1].lower()
+            self.facts.columns.append((child, i, name, sql_of(e), "expression", None, "", None))
+            self.facts.sources += [(child, i, k, a, c) for k, (a, c) in enumerate(columns(e))]
+        self.facts.refs.append((me, ord_[0], "derived", "", alias, "LATERAL VIEW", None, "secondary", child, "", False))
+        ord_[0] += 1
+
+    def bare(self, alias: str, condition: str | None, using: str) -> bool:
+        """Whether the text joins this relation by JOIN without a condition (a comma join has none by nature)."""
+        return condition is None and not using and alias in self.unconditioned
+
+    @staticmethod
+    def listed(names: list[str]) -> str:
+        return ", ".join(names)
 
 
 def _cte_bodies(plan: Node) -> list[tuple[str, Node]]:
@@ -349,14 +421,55 @@ def _branches(plan: Node) -> list[Node]:
     return out
 
 
-def parse(spark: SparkSession, sql: str) -> Facts:
-    """Facts of one vendor query; whatever goes wrong becomes the status, never an exception."""
+def unconditioned(query: str) -> set[str]:
+    """Aliases of relations that an explicit JOIN (not CROSS or NATURAL) brings without ON or USING."""
+    toks = [t for t in prepass.tokens(query) if t.kind not in ("comment", "space") and t.text.strip()]
+    word = lambda i: toks[i].text.upper() if 0 <= i < len(toks) else ""
+    out = set()
+    for i in range(len(toks)):
+        before = {word(i - 1), word(i - 2), word(i - 3)}
+        if word(i) != "JOIN" or toks[i].kind != "word" or word(i - 1) == "CROSS" or "NATURAL" in before:
+            continue
+        at, name = i + 1, ""
+        if word(at) == "(":
+            depth = 0
+            while at < len(toks):
+                depth += (word(at) == "(") - (word(at) == ")")
+                at += 1
+                if not depth:
+                    break
+        else:
+            name = toks[at].text if at < len(toks) else ""
+            at += 1
+            while word(at) == ".":
+                name, at = (toks[at + 1].text if at + 1 < len(toks) else ""), at + 2
+        if word(at) == "AS":
+            at += 1
+        if at < len(toks) and toks[at].kind == "word" and word(at) not in _AFTER_RELATION:
+            name, at = toks[at].text, at + 1
+        if word(at) not in ("ON", "USING"):
+            out.add(name.strip('`"').lower())
+    return out
+
+
+_AFTER_RELATION = {"ON", "USING", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "UNION", "INTERSECT", "EXCEPT", "MINUS", "JOIN", "LEFT", "RIGHT", "FULL", "INNER", "CROSS", "NATURAL", "LATERAL", "PARTITION", "DISTRIBUTE"}
+
+
+def parser_session(spark: SparkSession):
+    """A JVM session whose parser keeps the lengths of character types; threads that use it make it their active one."""
+    own = spark._jsparkSession.newSession()
+    own.conf().set("spark.sql.preserveCharVarcharTypeInfo", "true")
+    return own
+
+
+def parse(spark: SparkSession, sql: str, session=None) -> Facts:
+    """Facts of one vendor query; whatever goes wrong becomes the status, never an exception.  ``session``: as from parser_session."""
     try:
         query = prepass.query_of(sql or "")
         if query is None:
             raise ValueError("not a single SELECT or WITH statement")
-        plan = build(json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(prepass.clean(query)).toJSON()))
-        walker = _Walker(prepass.comment_aliases(query))
+        plan = build(json.loads((session or spark._jsparkSession).sessionState().sqlParser().parsePlan(prepass.clean(query)).toJSON()))
+        walker = _Walker(prepass.comment_aliases(query), unconditioned(query))
         walker.query(plan, None, "select", 0, "", 0, {})
         walker.facts.status = (True, None, walker.star, walker.joins, walker.subs, walker.cases)
         return walker.facts
