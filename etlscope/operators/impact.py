@@ -43,11 +43,12 @@ def table_status(changes: DataFrame, read: DataFrame, strategy: DataFrame, step:
     return j.select("before_table", "step_id", status.alias("status")).distinct()
 
 
-def field_status(changes: DataFrame, table_changes: DataFrame, sources: DataFrame, read: DataFrame, ddl: DataFrame, strategy: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+def field_status(changes: DataFrame, table_changes: DataFrame, sources: DataFrame, read: DataFrame, ddl: DataFrame, strategy: DataFrame, stars: DataFrame | None = None, casts: DataFrame | None = None) -> DataFrame:
     """(before_table, before_field, change_type, table, field, status) of each field change at each affected field.
 
     ``sources``: physical_sources (table, field, source_table, source_field, transform, depth), so a change reaches every
     field fed by it at any distance, by the exact column.  Changes of tables that table_status handles are left out.
+    A new type must fit every gate it meets: the target's type in the DDL and ``casts`` (cast_gates); without any it is to be confirmed.
     ``stars``: star_reads; which fields a SELECT * passes on is unknown, so its target is to be confirmed, field null.
     """
     c = changes.withColumn("k", short_name(F.col("before_table"))).join(table_changes.select(short_name(F.col("before_table")).alias("k")).distinct(), "k", "left_anti")
@@ -55,8 +56,11 @@ def field_status(changes: DataFrame, table_changes: DataFrame, sources: DataFram
     hit = sources.select(F.col("source_table").alias("k"), F.col("source_field").alias("before_field"), "table", "field", "transform")
     j = c.join(readers, "k", "left").join(hit, ["k", "before_field"], "left")
     gate = ddl.select(F.col("table").alias("table"), F.col("column").alias("field"), F.col("type").alias("gate"))
-    j = j.join(gate, ["table", "field"], "left").join(strategy.select("table", "strategy"), "table", "left")
-    typed = F.when(F.col("gate").isNull(), ASK).when(compatible(F.col("after_type"), F.col("gate")), NONE).otherwise(HIGH)
+    if casts is not None:
+        gate = gate.unionByName(casts.select("table", "field", F.col("cast_type").alias("gate")))
+    gates = gate.groupBy("table", "field").agg(F.collect_set("gate").alias("gates"))  # types of one field: few
+    j = j.join(gates, ["table", "field"], "left").join(strategy.select("table", "strategy"), "table", "left")
+    typed = F.when(F.col("gates").isNull(), ASK).when(F.forall("gates", lambda g: compatible(F.col("after_type"), g)), NONE).otherwise(HIGH)
     status = (
         F.when(F.col("is_read").isNull() | F.col("table").isNull(), MISS)
         .when(F.col("change_type").isin(*TYPE_CHANGES), typed)
@@ -79,3 +83,28 @@ def star_reads(status: DataFrame, read: DataFrame) -> DataFrame:
 def summary(status: DataFrame) -> DataFrame:
     """(status, n, listed): counts; red and yellow are listed, the others filtered out."""
     return status.groupBy("status").agg(F.count("*").alias("n")).withColumn("listed", F.col("status").isin(HIGH, ASK))
+
+
+def cast_gates(edges: DataFrame, step: DataFrame) -> DataFrame:
+    """(table, field, cast_type): types that rules cast their output fields to."""
+    return edges.where("cast_type is not null").join(step.select("rule_code", short_name(F.col("target")).alias("table")), "rule_code").select("table", F.col("output").alias("field"), "cast_type").distinct()
+
+
+def touched_fields(changes: DataFrame, edges: DataFrame, step: DataFrame, read: DataFrame) -> DataFrame:
+    """(before_table, step_id, table, field): every field of every step that reads a changed table, step by step."""
+    hits = read.select("step_id", short_name(F.col("source")).alias("k")).distinct()
+    fields = edges.join(step.select("rule_code", "step_id", short_name(F.col("target")).alias("table")), "rule_code").select("step_id", "table", F.col("output").alias("field")).distinct()
+    return changes.select("before_table", short_name(F.col("before_table")).alias("k")).distinct().join(hits, "k").join(fields, "step_id").select("before_table", "step_id", "table", "field")
+
+
+def cross_asset(affected: DataFrame, index: DataFrame, status: DataFrame) -> DataFrame:
+    """(table_name, asset, found, n_impact, n_confirm, n_no_impact): the assets (rule groups) that write each affected table.
+
+    ``affected(table_name)``; ``index`` as from target_index; ``status`` from field_status, of which an asset has the rows of
+    the tables it writes.  A table that no group writes is listed as not found.
+    """
+    own = index.select(F.col("group_code").alias("asset"), short_name(F.col("table")).alias("k"))
+    counts = status.where("table is not null").select(F.col("table").alias("k"), "status").join(own, "k").groupBy("asset").agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in (HIGH, ASK, NONE)])
+    located = affected.select("table_name", short_name(F.col("table_name")).alias("k")).distinct().join(own, "k", "left").join(counts, "asset", "left")
+    zero = lambda s: F.coalesce(f"n_{s}", F.lit(0)).cast("long").alias(f"n_{s}")
+    return located.select("table_name", "asset", F.col("asset").isNotNull().alias("found"), zero(HIGH), zero(ASK), zero(NONE))

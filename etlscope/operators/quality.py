@@ -47,7 +47,7 @@ def issues(facts: FactTables, mapping: DataFrame, selfs: DataFrame, over: DataFr
     cx = complexity(facts)
     code = step.select("step_id", "rule_code")
     bare = facts.refs.where("kind = 'table' and not contains(name, '.')").select("rule_code").distinct()
-    no_on = facts.refs.where("join_type in ('LEFT JOIN', 'RIGHT JOIN', 'FULL JOIN') and condition is null").select("rule_code").distinct()
+    no_on = facts.refs.where("kind = 'table' and bare").select("rule_code").distinct()
     many = facts.refs.groupBy("rule_code", "scope").agg(F.count("*").alias("n"))
     loose = facts.sources.where("alias = ''").join(many, ["rule_code", "scope"])
     differ = mapping.where("state <> 'matched'").groupBy("rule_code").count().where(F.col("count") > MOST_DIFFERENCES)
@@ -96,16 +96,24 @@ def patterns(facts: FactTables, step: DataFrame, selfs: DataFrame) -> DataFrame:
     return g.select("group_code", F.explode(F.array_compact(F.array(*[F.when(v, k) for k, v in flags.items()]))).alias("pattern"))
 
 
-def type_checks(edges: DataFrame, step: DataFrame, ddl: DataFrame) -> DataFrame:
-    """(rule_code, output, source_table, source_field, source_type, target_type, compatible) of directly moved columns.
+def type_checks(facts: FactTables, step: DataFrame, ddl: DataFrame) -> DataFrame:
+    """(rule_code, output, kind, source_table, source_field, source_type, target_type, compatible) against the target's DDL.
 
-    ``edges`` from field_edges; only direct columns whose two types the DDL (table, column, type) knows.
+    kind: direct columns and SUM, MIN, MAX, AVG by the source column's type; cast by the type cast to; case by each THEN and ELSE that is a column
+    or a literal.  COUNT, windows, pivots and other expressions say nothing about types.
     """
-    moved = edges.where("transform = 'direct'").join(step.select("rule_code", "target"), "rule_code")
-    src = ddl.select(F.col("table").alias("st"), F.col("column").alias("source_field"), F.col("type").alias("source_type"))
-    tgt = ddl.select(F.col("table").alias("tt"), F.col("column").alias("output"), F.col("type").alias("target_type"))
-    typed = moved.withColumn("st", short_name(F.col("source_table"))).withColumn("tt", short_name(F.col("target"))).join(src, ["st", "source_field"]).join(tgt, ["tt", "output"])
-    return typed.select("rule_code", "output", F.col("st").alias("source_table"), "source_field", "source_type", "target_type", compatible(F.col("source_type"), F.col("target_type")).alias("compatible")).distinct()
+    tgt = step.select("rule_code", short_name(F.col("target")).alias("tt")).join(ddl.select(F.col("table").alias("tt"), F.col("column").alias("output"), F.col("type").alias("target_type")), "tt")
+    src = ddl.select(F.col("table").alias("source_table"), F.col("column").alias("source_field"), F.col("type").alias("source_type"))
+    e = facts.edges
+    kind = F.when(F.col("transform") == "direct", "direct").when((F.col("transform") == "aggregate") & F.col("root").isin("sum", "min", "max", "avg"), F.col("root"))
+    moved = e.select("rule_code", "output", kind.alias("kind"), short_name(F.col("source_table")).alias("source_table"), "source_field").where("kind is not null").join(src, ["source_table", "source_field"])
+    roots = facts.outputs.where("scope = 1")
+    cast = roots.where("root = 'cast' and transform = 'expression'").select("rule_code", "output", F.lit("cast").alias("kind"), F.lit(None).cast("string").alias("source_table"), F.lit(None).cast("string").alias("source_field"), F.col("cast_type").alias("source_type"))
+    cases = facts.results.join(roots.where("transform = 'case_when'").select("rule_code", "output").distinct(), ["rule_code", "output"], "left_semi")
+    column = cases.where("field is not null").select("rule_code", "output", F.lit("case").alias("kind"), short_name(F.col("table")).alias("source_table"), F.col("field").alias("source_field")).join(src, ["source_table", "source_field"])
+    literal = cases.where("constant is not null").select("rule_code", "output", F.lit("case").alias("kind"), F.lit(None).cast("string").alias("source_table"), F.lit(None).cast("string").alias("source_field"), F.col("constant").alias("source_type"))
+    every = moved.unionByName(cast).unionByName(column).unionByName(literal).join(tgt, ["rule_code", "output"])
+    return every.select("rule_code", "output", "kind", "source_table", "source_field", "source_type", "target_type", compatible(F.col("source_type"), F.col("target_type")).alias("compatible")).distinct()
 
 
 def constant_checks(facts: FactTables, step: DataFrame, ddl: DataFrame) -> DataFrame:
@@ -114,3 +122,53 @@ def constant_checks(facts: FactTables, step: DataFrame, ddl: DataFrame) -> DataF
     tgt = ddl.select(F.col("table").alias("tt"), F.col("column").alias("output"), F.col("type").alias("target_type"))
     typed = lit.withColumn("tt", short_name(F.col("target"))).join(tgt, ["tt", "output"])
     return typed.select("rule_code", "output", "constant", "target_type", compatible(F.col("constant"), F.col("target_type")).alias("compatible"))
+
+
+def mapping_statistics(mapping: DataFrame) -> DataFrame:
+    """(rule_code, n_fields, n_matched, n_only_declared, n_only_in_sql, n_differences) of field_mapping."""
+    count = lambda state: F.count_if(F.col("state") == state)
+    return mapping.groupBy("rule_code").agg(
+        F.count("*").alias("n_fields"), count("matched").alias("n_matched"), count("only_declared").alias("n_only_declared"), count("only_in_sql").alias("n_only_in_sql"), F.count_if(F.col("state") != "matched").alias("n_differences")
+    )
+
+
+def blocks(facts: FactTables) -> DataFrame:
+    """(rule_code, block, parent, kind, role, name, alias, join_type, condition, fields, ops): the data blocks of each query as a tree.
+
+    A block is a relation of a select (table, cte, subquery), a set operation (union) or one of its branches; ``parent`` is the
+    block around it.  fields: columns that the select around takes from it; ops: filter, aggregate, union.
+    """
+    name = lambda scope, n=None: F.concat_ws(".", F.lit("s") if n is None else F.lit("r"), F.col(scope).cast("string"), *([] if n is None else [F.col(n).cast("string")]))
+    used = facts.usage.where("field is not null").groupBy("rule_code", "scope").agg(F.max(F.col("kind") == "where").alias("f"), F.max(F.col("kind") == "group").alias("g"))
+    where = facts.usage.where("kind in ('where', 'having')").select("rule_code", "scope").distinct().withColumn("w", F.lit(True))
+    agg = facts.columns.where("transform in ('aggregate', 'pivot')").select("rule_code", "scope").distinct().withColumn("a", F.lit(True))
+    sets = facts.scopes.where("kind = 'branch'").select("rule_code", F.col("parent").alias("scope")).distinct().withColumn("u", F.lit(True))
+    ops = facts.scopes.select("rule_code", "scope", "kind", "parent", "ord").join(used, ["rule_code", "scope"], "left").join(where, ["rule_code", "scope"], "left").join(agg, ["rule_code", "scope"], "left").join(sets, ["rule_code", "scope"], "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    ops = ops.withColumn("ops", F.array_join(F.array_compact(F.array(F.when(yes("w"), "filter"), F.when(yes("g") | yes("a"), "aggregate"), F.when(yes("u"), "union"))), "/"))
+    parent = facts.refs.where("kind = 'derived' and child is not null").select("rule_code", F.col("child").alias("scope"), name("scope", "ord").alias("ref"))
+    kind = F.when(F.col("kind") == "branch", "union_branch").when(F.col("kind") == "select", "query").otherwise(F.col("kind"))
+    null = F.lit(None).cast("string")
+    scopes = ops.join(parent, ["rule_code", "scope"], "left").select(
+        "rule_code", name("scope").alias("block"), F.coalesce("ref", F.when(F.col("parent").isNotNull(), name("parent"))).alias("parent"), F.when(yes("u"), "union").otherwise(kind).alias("kind"), F.lit("main").alias("role"),
+        null.alias("name"), null.alias("alias"), null.alias("join_type"), null.alias("condition"), F.lit("").alias("fields"), "ops",
+    )
+    taken = facts.sources.select("rule_code", "scope", "alias", "field").unionByName(facts.usage.where("field is not null").select("rule_code", "scope", "alias", "field"))
+    taken = taken.groupBy("rule_code", "scope", "alias").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+    refs = facts.refs.join(taken, ["rule_code", "scope", "alias"], "left")
+    shown = F.when(F.col("kind") == "derived", "subquery").otherwise(F.col("kind"))
+    return scopes.unionByName(
+        refs.select(
+            "rule_code", name("scope", "ord").alias("block"), name("scope").alias("parent"), shown.alias("kind"), F.when((F.col("ord") == 0) & (F.col("role") == "main"), "main").otherwise("secondary").alias("role"), F.nullif("name", F.lit("")).alias("name"),
+            "alias", "join_type", F.coalesce("condition", F.when(F.col("using") != "", F.concat(F.lit("USING ("), F.col("using"), F.lit(")")))).alias("condition"), F.coalesce("fields", F.lit("")).alias("fields"), F.lit("").alias("ops"),
+        )
+    )
+
+
+def descriptions(facts: FactTables, step: DataFrame, read: DataFrame) -> DataFrame:
+    """(step_id, text): what each step does, in a sentence made of its facts."""
+    tables = read.groupBy("step_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("tables"))
+    n = transform_histogram(facts).groupBy("rule_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("transform", "n"))), lambda x: F.concat_ws(" ", x["n"].cast("string"), x["transform"])), ", ").alias("made"))
+    rows = step.join(tables, "step_id", "left").join(n, "rule_code", "left")
+    verb = F.when(F.col("is_exchange"), F.concat(F.lit("exchanges "), F.col("exchanged"), F.lit(" into "))).when(F.col("rule_type") == 2, "deletes from ").otherwise("writes ")
+    return rows.select("step_id", F.concat(verb, F.col("target"), F.coalesce(F.concat(F.lit(" from "), F.col("tables")), F.lit("")), F.coalesce(F.concat(F.lit(": "), F.col("made")), F.lit(""))).alias("text"))

@@ -65,13 +65,26 @@ def self_references(step: DataFrame, read: DataFrame) -> DataFrame:
     return own.join(step.select("step_id", "query_sql"), "step_id").select("step_id", F.col("target").alias("table"), pattern.alias("pattern")).distinct()
 
 
-def implicit_dependencies(step: DataFrame, read: DataFrame, known: DataFrame) -> DataFrame:
-    """Order that no data edge states: earlier writers of a table to its later writers, in sequence order."""
-    w = step.where(F.col("rule_type").isin(*SELECT_TYPES)).select("step_id", "exec_sequence", F.col("target").alias("table"))
-    a, b = w.alias("a"), w.alias("b")
-    pairs = a.join(b, (F.col("a.table") == F.col("b.table")) & (F.col("a.exec_sequence") < F.col("b.exec_sequence")))
-    pairs = pairs.select(F.col("a.step_id").alias("from_step"), F.col("b.step_id").alias("to_step"), F.col("a.table").alias("table"), F.lit("implicit").alias("kind"))
-    return pairs.join(known.select("from_step", "to_step"), ["from_step", "to_step"], "left_anti")
+def implicit_dependencies(step: DataFrame, read: DataFrame, selfs: DataFrame, known: DataFrame) -> DataFrame:
+    """(from_step, to_step, table, kind): order that no known edge states.
+
+    reader: all writers of a table to a step of a later sequence that reads it, unless any known edge ends at that step.
+    self: earlier writers of a table to a writer that reads it; writer: earlier writers to a later one; both unless a known edge
+    from one of the earlier writers ends there.
+    """
+    w = step.where(F.col("rule_type").isin(*SELECT_TYPES)).select(F.col("step_id").alias("from_step"), F.col("exec_sequence").alias("seq"), F.col("target").alias("table"), short_name(F.col("target")).alias("k"))
+    last = w.groupBy("k").agg(F.max("seq").alias("last"))
+    r = read.select(F.col("step_id").alias("to_step"), F.col("exec_sequence").alias("to_seq"), short_name(F.col("source")).alias("k")).distinct()
+    r = r.join(last, "k").where("to_seq > last").join(w.select(F.col("from_step").alias("to_step"), "k"), ["to_step", "k"], "left_anti")
+    r = r.join(known.select("to_step").distinct(), "to_step", "left_anti")
+    readers = r.join(w, "k").select("from_step", "to_step", "table", F.lit("reader").alias("kind"))
+    later = w.select(F.col("from_step").alias("to_step"), F.col("seq").alias("to_seq"), "table")
+    pairs = w.join(later, "table").where("seq < to_seq").select("from_step", "to_step", "table")
+    stated = pairs.join(known.select("from_step", "to_step").distinct(), ["from_step", "to_step"]).select("to_step", "table").distinct()
+    open_ = pairs.join(stated, ["to_step", "table"], "left_anti")
+    own = selfs.select(F.col("step_id").alias("to_step"), "table", F.lit(True).alias("own")).distinct()
+    writers = open_.join(own, ["to_step", "table"], "left").select("from_step", "to_step", "table", F.when(F.col("own"), "self").otherwise("writer").alias("kind"))
+    return readers.unionByName(writers)
 
 
 def write_groups(step: DataFrame, selfs: DataFrame) -> DataFrame:

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Error text to label, first match wins.
-ERROR_KINDS = (("parse", "parse|syntax"), ("missing", "not found|missing"), ("memory", "memory"), ("timeout", "time"), ("permission", "permission|denied"))
+# Words in an error text and the label they stand for; the first match wins, other texts are unknown.
+ERROR_KINDS = (
+    ("memory_error", ("memory",)),
+    ("timeout", ("timeout",)),
+    ("ddl_error", ("ddl",)),
+    ("parse_error", ("parse", "sqlglot", "syntax", "tokenize")),
+    ("io_error", ("io", "file", "permission", "notfound", "errno", "is a directory")),
+)
+COLUMNS = ("run_id", "trace_id", "ts", "install_id", "command", "input_type", "asset", "target_table", "elapsed_sec", "status", "error_type", "agent_version", "os")
 
 
 def usage_from_events(events: DataFrame) -> DataFrame:
@@ -22,8 +29,23 @@ def usage_from_events(events: DataFrame) -> DataFrame:
 
 
 def deduplicated(log: DataFrame) -> DataFrame:
-    """One row a run_id."""
-    return log.dropDuplicates(["run_id"])
+    """One row a run_id: the earliest by ts, then by all its values."""
+    rest = [c for c in log.columns if c not in ("run_id", "ts")]
+    first = F.min(F.struct("ts", F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("tie"), F.struct(*rest).alias("row"))).alias("first")
+    best = log.groupBy("run_id").agg(first)
+    return best.select("run_id", "first.ts", "first.row.*").select(*log.columns)
+
+
+def folded(log: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """The known columns, null where the log lacks one, and all others as one JSON text ``extra`` (null if there is none)."""
+    more = [c for c in log.columns if c not in columns and c != "extra"]
+    extra = F.when(F.coalesce(*[F.col(c).cast("string") for c in more], F.lit(None).cast("string")).isNotNull(), F.to_json(F.struct(*more))) if more else F.lit(None).cast("string")
+    return log.select(*[F.col(c) if c in log.columns else F.lit(None).cast("string").alias(c) for c in columns], extra.alias("extra"))
+
+
+def ingest(log: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows of ``log`` that the store does not have yet, one for each run, unknown columns folded."""
+    return folded(deduplicated(log).join(stored.select("run_id").distinct(), "run_id", "left_anti"))
 
 
 def overview(log: DataFrame) -> DataFrame:
@@ -71,7 +93,10 @@ def trace_pairs(log: DataFrame, first: str, then: str, n: int = 20) -> DataFrame
 
 def error_label(text: Column) -> Column:
     """Label of an error text; empty for none."""
-    out = F.lit("other")
-    for label, pattern in reversed(ERROR_KINDS):
-        out = F.when(F.lower(text).rlike(pattern), label).otherwise(out)
+    out = F.lit("unknown")
+    for label, words in reversed(ERROR_KINDS):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(F.lower(text), F.lit(w))
+        out = F.when(hit, label).otherwise(out)
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(out)

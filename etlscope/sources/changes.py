@@ -28,3 +28,11 @@ def read_changes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     tables = [(r["before_table"], r["after_table"], r["is_ping_cut"].lower() in YES, r["note"], r["change_type"]) for r in _rows(find("表级"), TABLE_WORDS)]
     fields = [tuple(r[n] for n in FIELD_WORDS) for r in _rows(find("字段"), FIELD_WORDS)]
     return spark.createDataFrame(tables, TABLE), spark.createDataFrame(fields, FIELD)
+
+
+def read_affected(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, table_name) of the sheet of affected tables; blank rows are skipped."""
+    book = sheets(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+    rows = next((rows for name, rows in book.items() if "影响" in name), [])
+    found = [(i, r["table_name"]) for i, r in enumerate(_rows(rows, {"table_name": ("表",)}), 1) if r["table_name"]]
+    return spark.createDataFrame(found, "ordinal int, table_name string")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import short_name
+from ..functions.names import is_intermediate, short_name
 from ..plans.prepass import query_of, text_of, tokens
 
 DDL = "table string, column string, type string, comment string, nullable boolean, default_value string, is_pk boolean"
@@ -109,13 +109,51 @@ def read_ddl(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("r", best).where("r = 1").drop("r", "path")
 
 
+def _stem() -> Column:
+    return F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.[^.]*$", "")
+
+
 def match_files(tables: DataFrame, files: DataFrame) -> DataFrame:
-    """(table, path): per table the best file by name: equal stem, then stem prefix before a dot, then contained."""
-    stem = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.[^.]*$", "")
-    f, k = files.select("path", stem.alias("stem")), short_name(F.col("table"))
-    rank = F.when(F.col("stem") == F.col("k"), 1).when(F.startswith("stem", F.concat("k", F.lit("."))), 2).when((F.length("k") >= 4) & F.contains(F.col("stem"), F.col("k")), 3)
-    hits = tables.select("table", k.alias("k")).join(f, F.contains(F.col("stem"), F.col("k"))).withColumn("rank", rank).where("rank is not null")
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy("table").orderBy("rank", "path"))).where("r = 1").select("table", "path")
+    """(table, path): per table the best file by name: equal stem, then stem prefix before a dot, then contained.
+
+    The first two are equi-joins; only tables without such a file, and slim columns, go on to the search for contained names.
+    """
+    f = files.select("path", _stem().alias("stem"))
+    k = tables.select("table", short_name(F.col("table")).alias("k")).distinct()
+    head = f.select("path", "stem", F.split("stem", r"\.")[0].alias("k"))
+    exact = k.join(head, "k").select("table", "path", F.when(F.col("stem") == F.col("k"), 1).otherwise(2).alias("rank"))
+    rest = k.join(exact.select("table").distinct(), "table", "left_anti").where(F.length("k") >= 4)
+    near = rest.join(f, F.contains(F.col("stem"), F.col("k"))).select("table", "path", F.lit(3).alias("rank"))
+    hits = exact.unionByName(near)
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy("table").orderBy("rank", F.contains(F.upper("path"), F.lit("_RT_")), "path"))).where("r = 1").select("table", "path")
+
+
+def discover_ddl(rules: DataFrame, files: DataFrame) -> DataFrame:
+    """(group_code, table, path): the DDL file of each group's final table.
+
+    Tried in this order: the table an exchange rule swaps into, the last written table that is not temporary, the last written table;
+    offline files win over realtime ones.
+    """
+    code = F.coalesce("rule_group_code", F.concat(F.lit("_SOLO_"), F.col("rule_code"))).alias("group_code")
+    target = F.lower("target_table")
+    swap = rules.where("rule_type = 9").select(code, F.lower("exchange_source_table").alias("table"), F.lit(1).alias("try"), "exec_sequence", "row_ord")
+    final = rules.where(F.col("rule_type").isin(1, 14) & ~is_intermediate(target)).select(code, target.alias("table"), F.lit(2).alias("try"), "exec_sequence", "row_ord")
+    last = rules.where("rule_type in (1, 14)").select(code, target.alias("table"), F.lit(3).alias("try"), "exec_sequence", "row_ord")
+    wanted = swap.unionByName(final).unionByName(last)
+    found = wanted.join(match_files(wanted.select("table").distinct(), files), "table")
+    order = Window.partitionBy("group_code").orderBy("try", F.desc("exec_sequence"), F.desc("row_ord"))
+    return found.withColumn("r", F.row_number().over(order)).where("r = 1").select("group_code", "table", "path")
+
+
+def find_root(spark: SparkSession, start: str, marks: tuple[str, ...] = ("BFT", "DDL")) -> str | None:
+    """The nearest folder from ``start`` upwards that holds all folders of ``marks``; in any store that Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(start)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    while path is not None:
+        if all(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, m)) for m in marks):
+            return path.toString()
+        path = path.getParent()
+    return None
 
 
 def view_query(text: str) -> str | None:
@@ -125,22 +163,34 @@ def view_query(text: str) -> str | None:
 
 
 def find_views(tables: DataFrame, files: DataFrame) -> DataFrame:
-    """(table, path): for tables ending in _f the view file of the same name ending in _i, else the first that mentions it."""
+    """(table, path): for tables ending in _f the view file of the same name ending in _i, else the first that mentions it.
+
+    Mentions are found by an equi-join on the words of the view texts.
+    """
     base = tables.select("table", short_name(F.col("table")).alias("k")).where("k rlike '_f$'").withColumn("v", F.regexp_replace("k", "_f$", "_i"))
-    f = files.withColumn("stem", F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.[^.]*$", "")).where(F.col("text").rlike(r"(?i)create\s+(or\s+replace\s+)?view"))
-    hits = base.join(f, (F.col("stem") == F.col("v")) | F.contains(F.lower("text"), F.col("k")))
-    order = Window.partitionBy("table").orderBy(F.col("stem") != F.col("v"), "path")
-    return hits.withColumn("r", F.row_number().over(order)).where("r = 1").select("table", "path")
+    views = files.where(F.col("text").rlike(r"(?i)create\s+(or\s+replace\s+)?view"))
+    named = base.join(views.select("path", _stem().alias("v")), "v").select("table", "path", F.lit(1).alias("rank"))
+    words = views.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\w+)"), F.lit(1)))).alias("k"))
+    said = base.join(words, "k").select("table", "path", F.lit(2).alias("rank"))
+    order = Window.partitionBy("table").orderBy("rank", "path")
+    return named.unionByName(said).withColumn("r", F.row_number().over(order)).where("r = 1").select("table", "path")
 
 
 def _yaml_rows(spark: SparkSession, folder: str, mention: str, pick, schema: str) -> DataFrame:
     """Rows from the yml files whose text mentions a string; only those are parsed."""
+    def parsed(text: str):
+        import yaml
+
+        try:
+            return yaml.safe_load(text)
+        except yaml.YAMLError:
+            return dict(re.findall(r"^\s*['\"]?([\w*]+)['\"]?\s*:\s*(\S.*?)\s*$", text, re.M))
+
     def run(frames):
         import pandas as pd
-        import yaml
 
         for f in frames:
-            docs = [(p, yaml.safe_load(t)) for t, p in zip(f.text, f.path, strict=True)]
+            docs = [(p, parsed(t)) for t, p in zip(f.text, f.path, strict=True)]
             yield pd.DataFrame([pick(p, d) for p, d in docs if isinstance(d, dict)], columns=[c.split()[0] for c in schema.split(", ")])
 
     found = _texts(spark, folder, "*.yml").where(F.contains(F.lower("text"), F.lit(mention.lower())))
@@ -153,7 +203,10 @@ def _value(doc: dict, *names: str) -> str:
 
 
 def scheduler_tasks(spark: SparkSession, folder: str, group_code: str) -> DataFrame:
-    """(task_name, kind, schedule_cron, owner, group_code, path): tasks of a rule group; kind F, I or other."""
+    """(task_name, kind, schedule_cron, owner, group_code, path): tasks of a rule group; kind F, I or other.
+
+    A text that is no valid yml is searched for ``key: value`` lines instead.
+    """
     def pick(path, d):
         import yaml
 
@@ -167,6 +220,13 @@ def scheduler_tasks(spark: SparkSession, folder: str, group_code: str) -> DataFr
     return rows.where(F.col("group_code") == group_code)
 
 
+def paired_tasks(own: DataFrame, every: DataFrame) -> DataFrame:
+    """(task_name, partner, schedule_cron, partner_cron): each F task of a group with the I task of the same name, which may be of any group."""
+    f = own.where("kind = 'F'").select("task_name", "schedule_cron", F.regexp_replace(F.upper("task_name"), "_F$", "_I").alias("k"))
+    i = every.where("kind = 'I'").select(F.col("task_name").alias("partner"), F.upper("task_name").alias("k"), F.col("schedule_cron").alias("partner_cron"))
+    return f.join(i, "k", "left").select("task_name", "partner", "schedule_cron", "partner_cron")
+
+
 def quality_rules(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """(rule_number, rule_name, check_type, alert_level, sql, target_table, owner, path): checks of one table."""
     names = ("rule_number", "rule_name", "check_type", "alert_level", "sql", "target_table", "owner")

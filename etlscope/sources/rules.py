@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.facts import RULE, SKIPPED_TYPES, VARIABLE_TYPE
@@ -101,16 +102,27 @@ def read_yml(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     """The same from a directory with one rule a file; the nested extras may be a block scalar."""
     import yaml
 
-    rules, fields, variables = [], [], []
-    files = spark.read.option("pathGlobFilter", "*.yml").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("p")).orderBy("p").collect()
-    for f in files:
-        doc = yaml.safe_load(f["value"]) or {}
-        extra = next((v for k, v in doc.items() if str(k).startswith(EXTRA)), None) or {}
-        extra = yaml.safe_load(extra) if isinstance(extra, str) else extra
-        rules.append({k: v for k, v in doc.items() if not str(k).startswith(EXTRA)})
-        for name, into in (("TargetFields", fields), ("GroupVariables", variables)):
-            into += [{_header(k): v for k, v in r.items()} for r in (extra or {}).get(name) or []]
-    return _frames(spark, rules, fields, variables)
+    names = [c.split()[0] for c in RULE.replace("\n", " ").split(", ")]
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for text, path in zip(f.value, f.p, strict=True):
+                doc = yaml.safe_load(text) or {}
+                extra = next((v for k, v in doc.items() if str(k).startswith(EXTRA)), None) or {}
+                extra = (yaml.safe_load(extra) if isinstance(extra, str) else extra) or {}
+                rule = _rule({k: v for k, v in doc.items() if not str(k).startswith(EXTRA)}, 0)
+                pick = lambda key, headers, extra=extra: [[str({_header(k): v for k, v in r.items()}.get(_header(h)) or "").strip() for h in headers] for r in extra.get(key) or []]
+                made = json.dumps(dict(zip(names, rule, strict=True))) if rule and rule[2] != VARIABLE_TYPE else None
+                yield pd.DataFrame([(path, made, json.dumps(pick("TargetFields", FIELD_HEADERS)), json.dumps(pick("GroupVariables", VARIABLE_HEADERS)))], columns=["path", "rule", "fields", "variables"])
+
+    files = spark.read.option("pathGlobFilter", "*.yml").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
+    made = files.mapInPandas(run, "path string, rule string, fields string, variables string")
+    own = made.where("rule is not null").select("path", F.from_json("rule", RULE.replace("\n", " ")).alias("r"))
+    rules = own.select(*[f"r.{n}" for n in names if n != "row_ord"], (F.row_number().over(Window.orderBy("path")) - 1).alias("row_ord")).select(*names)  # one row a file
+    listed = lambda column, schema: made.select(F.explode(F.from_json(column, "array<array<string>>")).alias("x")).select(*[F.col("x")[i].alias(c.split()[0]) for i, c in enumerate(schema.split(", "))])
+    return rules, listed("fields", FIELDS), listed("variables", VARIABLES)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -99,7 +99,7 @@ def test_knowledge(result):
 
 
 def test_deliverables(result):
-    states = {r["field"]: r["state"] for r in render.view_merge(result.edges, "r03", "r06").collect()}
+    states = {r["field"]: r["state"] for r in render.view_merge(result.facts.outputs, "r03", "r06").collect()}
     assert states["total_rev"] == "inherited" and states["grade"] == "base_only"
     assert render.attribute_mapping(result.edges, result.step, result.scenario).where("scenario = 'p_main'").select("field").distinct().count() == 7
     assert render.layout(result.step).where("x = 1").count() == 6 and not render.entity_mapping(result.facts, result.step).isEmpty()
@@ -110,4 +110,4 @@ def test_deliverables(result):
 def test_chain_and_search(result):
     got = {r["step_id"]: r["chain_sequence"] for r in api.chain(result, "G2").collect()}
     assert got["step_1"] == 1 and got["step_7"] == 5
-    assert {r["field"] for r in api.find(result, ["REGION_rev"]).collect()} == {"region_rev"}
+    assert {r["field"] for r in api.find(result, ["REGION_rev"]).collect()} == {"region_rev", "amount", "pos"}  # by name and by source field
