@@ -8,7 +8,7 @@ from functools import cache, cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog
+from . import api, catalog
 from .functions import names
 from .operators import impact, lineage, quality, search, topology, usage
 from .plans import execute, facts
@@ -23,7 +23,7 @@ EXECUTED: dict[str, tuple[str, str]] = {
     "a08_table_alias": ("SELECT n_name, nation.n_regionkey FROM nation WHERE n_nationkey < 7", "SELECT n_name, n_regionkey FROM nation WHERE n_nationkey < 7"),
     "a02_comments": (
         "SELECT /* all of it; */ r_name AS name, '-- not a comment; ' || r_name AS label -- tail ; \n FROM region /* x */ WHERE r_name <> ';'",
-        "SELECT r_name AS name, '-- not a comment; ' || r_name AS label FROM region",
+        "SELECT r_name AS name, '-- not a comment; ' || r_name AS label FROM region WHERE r_name <> ';'",
     ),
     "a03_vendor_clauses": (
         "SELECT o.o_orderpriority AS prio, COUNT(*) AS n FROM orders PARTITION(p_2020) o GROUP BY o.o_orderpriority DISTRIBUTE BY HASH(prio) TO GROUP g1",
@@ -31,7 +31,7 @@ EXECUTED: dict[str, tuple[str, str]] = {
     ),
     "a04_placeholders": (
         "SELECT n.n_nationkey AS k, '${CYCLE}' AS c1, ${RUN_ID} AS c2, #tag# AS c3 FROM nation n WHERE n.n_name <> ${NAME}",
-        "SELECT n_nationkey AS k, '${CYCLE}' AS c1, '${RUN_ID}' AS c2, '#tag#' AS c3 FROM nation",
+        "SELECT n_nationkey AS k, '${CYCLE}' AS c1, '${RUN_ID}' AS c2, '#tag#' AS c3 FROM nation WHERE n_name <> '${NAME}'",
     ),
     "a05_statement_guard": ("  ; SELECT r_regionkey AS k, 'a;b' AS s FROM region; ;", "SELECT r_regionkey AS k, 'a;b' AS s FROM region"),
     "a09_join_kinds": (
@@ -63,7 +63,7 @@ EXECUTED: dict[str, tuple[str, str]] = {
     ),
     "a17_union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     "a17_intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
-    "a17_minus": ("SELECT n_nationkey AS k FROM nation MINUS SELECT s_nationkey FROM supplier", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier"),
+    "a17_minus": ("SELECT c_custkey AS k FROM customer MINUS SELECT s_suppkey * 2 FROM supplier", "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey * 2 FROM supplier"),
     "a18_union_in_subquery": (
         "SELECT u.src AS src, SUM(u.n) AS total FROM (SELECT 'c' AS src, COUNT(*) AS n FROM customer c GROUP BY c.c_nationkey UNION ALL SELECT 's', COUNT(*) FROM supplier s GROUP BY s.s_nationkey) u GROUP BY u.src",
         "SELECT 'c' AS src, CAST(COUNT(*) AS BIGINT) AS total FROM customer UNION ALL SELECT 's', COUNT(*) FROM supplier",
@@ -81,8 +81,8 @@ EXECUTED: dict[str, tuple[str, str]] = {
         "SELECT r_name AS region, MAX(c_acctbal) AS best FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
     ),
     "a24_exists": (
-        "SELECT c.c_custkey AS k FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) AND c.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)",
-        "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)",
+        "SELECT c.c_custkey AS k FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000) AND c.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)",
+        "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 200000) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)",
     ),
     "a28_pivot": (
         "SELECT e.user_id AS u, SUM(CASE WHEN e.event_type = 'click' THEN 1 ELSE 0 END) AS clicks, SUM(CASE WHEN e.event_type = 'view' THEN 1 ELSE 0 END) AS views, SUM(CASE WHEN e.event_type = 'purchase' THEN 1 ELSE 0 END) AS buys FROM events e GROUP BY e.user_id",
@@ -162,8 +162,15 @@ edges(rule_code, tt, tf, st, sf, rk) AS (VALUES
  ('r07','dws_region_mid_f','region_id','dwb_customer_rev_f','region_id',1), ('r07','dws_region_mid_f','region','region','r_name',1), ('r07','dws_region_mid_f','region_rev','dwb_customer_rev_f','total_rev',5), ('r07','dws_region_mid_f','n_cust','dwb_customer_rev_f','cust_id',5),
  ('r08','ads_region_rpt_f','region','dws_region_mid_f','region',1), ('r08','ads_region_rpt_f','region','nation','n_name',1), ('r08','ads_region_rpt_f','amount','dws_region_mid_f','region_rev',1), ('r08','ads_region_rpt_f','amount','nation','n_nationkey',1),
  ('r08','ads_region_rpt_f','pos','dws_region_mid_f','region_rev',7), ('r08','ads_region_rpt_f','pos','nation','n_nationkey',7), ('r08','ads_region_rpt_f','pos','dws_region_mid_f','region',7), ('r08','ads_region_rpt_f','pos','nation','n_name',7),
- ('r10','tmp_region_x','region_id','dws_region_mid_f','region_id',1), ('r10','tmp_region_x','region_rev','dws_region_mid_f','region_rev',1),
+ ('r10','tmp_region_x','region_id','dws_region_mid_f','region_id',1), ('r10','tmp_region_x','region_rev','dws_region_mid_f','region_rev',1), ('r09','ads_region_x_f','region_id','tmp_region_x','region_id',1), ('r09','ads_region_x_f','region_rev','tmp_region_x','region_rev',1),
  ('r11','dwb_event_f','user_id','events','user_id',1), ('r11','dwb_event_f','last_click','events','event_type',6), ('r11','dwb_event_f','last_click','events','value',6), ('r11','dwb_event_f','before_value','events','value',7), ('r11','dwb_event_f','before_value','events','user_id',7), ('r11','dwb_event_f','least','events','value',5)),
+keys(step_id, tab, fld) AS (VALUES ('step_4','tmp_order_rev','cust_id'), ('step_4','tmp_cust_base','cust_id'), ('step_7','dwb_customer_rev_f','region_id')),
+used(rule_code, kind, field) AS (VALUES ('r01','join','l_orderkey'), ('r01','join','o_orderkey'), ('r01','group','o_orderkey'), ('r01','group','o_custkey'), ('r02','join','c_nationkey'), ('r02','join','n_nationkey'), ('r03','join','cust_id'), ('r03','where','rev'),
+ ('r03','group','cust_id'), ('r03','group','cust_name'), ('r03','group','nation'), ('r03','group','region_id'), ('r05','where','cust_id'), ('r05','where','c_custkey'), ('r07','group','region_id'), ('r07','join','region_id'), ('r07','join','r_regionkey'), ('r10','where','region_rev'),
+ ('r11','group','user_id'), ('r14','where','p_size')),
+histogram(rule_code, transform, n) AS (VALUES ('r01','aggregate',2), ('r01','direct',2), ('r02','direct',3), ('r02','fallback',1), ('r03','aggregate',1), ('r03','direct',4), ('r03','expression',1), ('r03','pivot',1), ('r03','value',2), ('r05','direct',3), ('r05','value',2), ('r06','direct',3),
+ ('r07','direct',4), ('r08','direct',2), ('r08','window',1), ('r10','direct',2), ('r11','aggregate',1), ('r11','direct',1), ('r11','pivot',1), ('r11','window',1), ('r14','expression',1)),
+outs AS (SELECT rule_code, tf AS field FROM edges WHERE rule_code <> 'r09' UNION SELECT * FROM (VALUES ('r01','n_lines'), ('r03','del_flag'), ('r03','dw_last_update_date'), ('r05','nation'), ('r05','total_rev'), ('r14','_col_0'))),
 dep AS (
  SELECT DISTINCT w.step_id AS from_step, r.step_id AS to_step, r.source AS tab, 'data' AS kind FROM reads r JOIN step w ON w.rule_type IN (1, 14) AND split_part('.' || r.source, '.', -1) = split_part('.' || w.target, '.', -1) AND w.step_id <> r.step_id
  UNION SELECT w.step_id, x.step_id, x.exchanged, 'exchange' FROM step x JOIN step w ON w.rule_type IN (1, 14) AND w.target = x.exchanged AND w.step_id <> x.step_id),
@@ -197,28 +204,59 @@ def _values(rows: list[tuple]) -> str:
 
 
 class Analysis:
-    """The catalog's facts and what most operators need of them; built once a session."""
+    """The catalog's facts and what most operators need of them; each made when first asked for, once a session."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.rules = catalog.rules(spark)
-        self.facts = facts.extract(spark, self.rules)
-        self.step = cut(topology.steps(self.rules))
-        self.read = cut(topology.reads(self.facts, self.step))
-        self.dep = cut(topology.dependencies(self.step, self.read))
-        self.selfs = cut(topology.self_references(self.step, self.read))
-        self.over = cut(topology.over_constraints(self.step, self.dep))
-        self.edges = cut(facts.field_edges(self.facts))
         self.ddl = spark.createDataFrame(catalog.DDL, "table string, column string, type string")
-        self.declared = spark.createDataFrame(catalog.TARGET_FIELDS, "rule_code string, target_field string, source_field string, field_type string")
-        self.mapping = quality.field_mapping(self.facts, self.declared)
+        self.facts = facts.extract(spark, self.rules, ddl=self.ddl)
+        self.edges = self.facts.edges
         self.strategy = topology.load_strategy(self.rules)
-        self.table_changes = spark.createDataFrame(catalog.TABLE_CHANGES, "before_table string, after_table string, is_ping_cut boolean, note string, change_type string")
-        self.field_changes = spark.createDataFrame(catalog.FIELD_CHANGES, "before_table string, before_field string, before_type string, after_table string, after_field string, after_type string, change_type string")
+
+    @cached_property
+    def step(self) -> DataFrame:
+        return cut(topology.steps(self.rules))
+
+    @cached_property
+    def read(self) -> DataFrame:
+        return cut(topology.reads(self.facts, self.step))
+
+    @cached_property
+    def dep(self) -> DataFrame:
+        return cut(topology.dependencies(self.step, self.read))
+
+    @cached_property
+    def selfs(self) -> DataFrame:
+        return topology.self_references(self.step, self.read)
+
+    @cached_property
+    def over(self) -> DataFrame:
+        return topology.over_constraints(self.step, self.dep)
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        return self.spark.createDataFrame(catalog.TARGET_FIELDS, "rule_code string, target_field string, source_field string, field_type string")
+
+    @cached_property
+    def mapping(self) -> DataFrame:
+        return quality.field_mapping(self.facts, self.declared)
+
+    @cached_property
+    def table_changes(self) -> DataFrame:
+        return self.spark.createDataFrame(catalog.TABLE_CHANGES, "before_table string, after_table string, is_ping_cut boolean, note string, change_type string")
+
+    @cached_property
+    def field_changes(self) -> DataFrame:
+        return self.spark.createDataFrame(catalog.FIELD_CHANGES, "before_table string, before_field string, before_type string, after_table string, after_field string, after_type string, change_type string")
+
+    @cached_property
+    def hops(self) -> DataFrame:
+        return lineage.step_edges(self.edges, self.step, self.facts.outputs)
 
     @cached_property
     def traced(self) -> DataFrame:
-        return cut(lineage.physical_sources(lineage.step_edges(self.edges, self.step)))
+        return cut(lineage.physical_sources(self.hops))
 
     def sources(self) -> DataFrame:
         return self.traced
@@ -238,7 +276,11 @@ class Analysis:
         return owners.join(self.strategy.select("group_code", "strategy"), "group_code").groupBy("table").agg(F.max("strategy").alias("strategy"))
 
     def field_impact(self) -> DataFrame:
-        return impact.field_status(self.field_changes, self.table_changes, self.sources(), self.read, self.ddl, self.table_strategy(), impact.star_reads(self.facts.status, self.read))
+        stars, casts = impact.star_reads(self.facts.status, self.read), impact.cast_gates(self.edges, self.step)
+        return impact.field_status(self.field_changes, self.table_changes, self.sources(), self.read, self.ddl, self.table_strategy(), stars, casts)
+
+    def result(self) -> api.Result:
+        return api.Result(self.facts, self.step, self.read, self.dep, self.edges, self.sources(), self.mapping, self.issues(), self.strategy, topology.scenarios(self.step))
 
 
 @cache
@@ -255,6 +297,13 @@ TYPE_GRID = [
     ("numeric(10,2)", "numeric(12,2)"), ("numeric(10,2)", "numeric(12,1)"), ("numeric(12,2)", "numeric(10,2)"), ("int", "varchar(10)"), ("text", "varchar(10)"), ("character varying(30)", "nvarchar2(30)"), ("date", "timestamp"), ("date", "text"), ("boolean", "bool"),
 ]
 
+AFFECTED = ("dws.dwb_customer_rev_f", "ADS.ads_region_rpt_f", "nowhere_f")
+FIELD_IMPACT = f"""
+ SELECT c.b AS before_table, c.f AS before_field, c.t AS change_type, l.tt AS tab, l.tf AS field, CASE WHEN l.tt IS NULL THEN 'not_hit' WHEN c.t LIKE '%初始化（不刷%' THEN CASE WHEN l.tt IN (SELECT split_part(target, '.', -1) FROM step WHERE grp = 'G2') THEN 'no_impact' ELSE 'impact' END
+   WHEN c.t = '字段类型及长度变化' THEN CASE WHEN d.k IS NULL THEN 'confirm' WHEN {_compatible_sql('c.a', 'd.k')} THEN 'no_impact' ELSE 'impact' END WHEN c.t = '1:0废弃字段' THEN 'impact' ELSE 'confirm' END AS status
+ FROM (SELECT col0 AS b, col1 AS f, col5 AS a, col6 AS t FROM (VALUES {_values(catalog.FIELD_CHANGES)}) WHERE col0 NOT IN ('nation', 'part_old', 'supplier', 'region')) c
+ LEFT JOIN leaf l ON l.st = c.b AND l.sf = c.f LEFT JOIN (SELECT col0 AS t, col1 AS c, col2 AS k FROM (VALUES {_values(catalog.DDL)})) d ON d.t = l.tt AND d.c = l.tf"""
+
 META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
     "b20_steps": (lambda a: a.step.select("step_id", "rule_code", "rule_type", "exec_sequence", "target", "exchanged", "group_code"), FACTS + "SELECT step_id, rule_code, rule_type, seq AS exec_sequence, target, exchanged, grp AS group_code FROM step"),
     "b20_step_tables": (lambda a: a.read.select("step_id", "source"), FACTS + "SELECT step_id, source FROM reads"),
@@ -266,8 +315,12 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
     ),
     "b25_self_references": (lambda a: a.selfs.select("step_id", F.col("table").alias("tab"), "pattern"), FACTS + "SELECT s.step_id, s.target AS tab, 'EXISTS' AS pattern FROM step s JOIN reads r ON r.step_id = s.step_id AND r.source = s.target WHERE s.rule_type <> 2"),
     "b26_implicit": (
-        lambda a: topology.implicit_dependencies(a.step, a.read, a.dep.limit(0)).select("from_step", "to_step"),
-        FACTS + "SELECT x.step_id AS from_step, y.step_id AS to_step FROM step x JOIN step y ON x.target = y.target AND x.seq < y.seq AND x.rule_type IN (1, 14) AND y.rule_type IN (1, 14)",
+        lambda a: topology.implicit_dependencies(a.step, a.read, a.selfs, a.dep.where("kind <> 'data' or to_step not in ('step_5', 'step_6')")).withColumnRenamed("table", "tab"),
+        FACTS + ", kn AS (SELECT * FROM dep WHERE kind <> 'data' OR to_step NOT IN ('step_5', 'step_6')), w AS (SELECT step_id, seq, target, split_part(target, '.', -1) AS k FROM step WHERE rule_type IN (1, 14)), "
+        "rd AS (SELECT DISTINCT r.step_id, s.seq, split_part('.' || r.source, '.', -1) AS k FROM reads r JOIN step s USING (step_id)), "
+        "pr AS (SELECT x.step_id AS a, y.step_id AS b, x.target AS t FROM w x JOIN w y ON x.target = y.target AND x.seq < y.seq) "
+        "SELECT w.step_id AS from_step, rd.step_id AS to_step, w.target AS tab, 'reader' AS kind FROM rd JOIN w USING (k) WHERE rd.seq > (SELECT max(seq) FROM w v WHERE v.k = rd.k) AND NOT EXISTS (SELECT 1 FROM w v WHERE v.k = rd.k AND v.step_id = rd.step_id) AND rd.step_id NOT IN (SELECT to_step FROM kn) "
+        "UNION ALL SELECT a, b, t, CASE WHEN EXISTS (SELECT 1 FROM reads r WHERE r.step_id = b AND split_part('.' || r.source, '.', -1) = split_part(t, '.', -1)) THEN 'self' ELSE 'writer' END FROM pr WHERE NOT EXISTS (SELECT 1 FROM pr p JOIN kn ON kn.from_step = p.a AND kn.to_step = p.b WHERE p.b = pr.b AND p.t = pr.t)",
     ),
     "b27_write_groups": (
         lambda a: topology.write_groups(a.step, a.selfs).withColumnRenamed("table", "tab"),
@@ -289,21 +342,58 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
     ),
     "b33_field_edges": (
         lambda a: a.edges.select("rule_code", "output", F.element_at(F.split("source_table", r"\."), -1).alias("source_table"), "source_field", "transform"),
-        FACTS + f"SELECT rule_code, tf AS output, st AS source_table, sf AS source_field, {RANK_NAME.format('rk')} AS transform FROM edges",
-    ),
+        FACTS + f"SELECT rule_code, tf AS output, st AS source_table, sf AS source_field, {RANK_NAME.format('rk')} AS transform FROM edges WHERE rule_code <> 'r09'",
+    ),
+    "b31_exchange_fields": (
+        lambda a: lineage.exchange_edges(a.facts.outputs, a.step).select("step_id", "to_table", "to_field", "from_table", "from_field"),
+        FACTS + "SELECT DISTINCT x.step_id, split_part(x.target, '.', -1) AS to_table, o.field AS to_field, split_part(x.exchanged, '.', -1) AS from_table, o.field AS from_field FROM step x JOIN step w ON w.target = x.exchanged AND w.rule_type IN (1, 14) JOIN outs o ON o.rule_code = w.rule_code",
+    ),
+    "b32_typed_fields": (
+        lambda a: lineage.typed_fields(a.facts.outputs, a.step, a.ddl).select("rule_code", "field", "type"),
+        FACTS + f", ddl(t, c, k) AS (VALUES {_values(catalog.DDL)}) SELECT o.rule_code, o.field, k AS type FROM outs o JOIN step s USING (rule_code) LEFT JOIN ddl ON t = split_part(s.target, '.', -1) AND c = o.field",
+    ),
+    "b07_table_catalog": (
+        lambda a: lineage.table_catalog(a.step, a.read, a.ddl).withColumnRenamed("table", "tab").withColumnRenamed("column", "col"),
+        FACTS + f", ddl(t, c, k) AS (VALUES {_values(catalog.DDL)}), n AS (SELECT split_part(target, '.', -1) AS tab, 'target' AS r FROM step UNION SELECT split_part(exchanged, '.', -1), 'exchange' FROM step WHERE exchanged IS NOT NULL UNION SELECT split_part('.' || source, '.', -1), 'source' FROM reads) "
+        "SELECT n.tab, c AS col, k AS type, string_agg(r, '/' ORDER BY r) AS role FROM n JOIN ddl ON t = n.tab GROUP BY 1, 2, 3",
+    ),
+    "b33_join_key_lineage": (
+        lambda a: lineage.join_key_lineage(lineage.join_keys(a.facts, a.step), lineage.producing_steps(a.step, a.read), a.hops, a.sources()).withColumnRenamed("table", "tab"),
+        FACTS + f""", pd AS (SELECT k.step_id, k.tab, k.fld, w.step_id AS producer, w.rule_code, row_number() OVER (PARTITION BY k.step_id, k.tab, k.fld ORDER BY w.seq < r.seq DESC, CASE WHEN w.seq < r.seq THEN -w.seq END, CASE WHEN w.seq < r.seq THEN -w.step_no END, w.step_no) AS rn
+ FROM keys k JOIN step r ON r.step_id = k.step_id JOIN step w ON split_part(w.target, '.', -1) = k.tab AND w.rule_type IN (1, 9, 14) AND w.step_id <> k.step_id),
+ hop AS (SELECT p.step_id, p.tab, p.fld, p.producer, e.st, e.sf, e.rk FROM pd p JOIN edges e ON p.rn = 1 AND e.rule_code = p.rule_code AND e.tf = p.fld),
+ al AS (SELECT step_id, tab, fld, producer, l.st, l.sf, greatest(h.rk, l.rk) AS rk, l.d + 1 AS d FROM hop h JOIN leaf l ON l.tt = h.st AND l.tf = h.sf UNION ALL SELECT step_id, tab, fld, producer, st, sf, rk, 1 FROM hop WHERE st NOT IN (SELECT tt FROM edges))
+ SELECT step_id, tab, fld AS field, producer, st AS source_table, sf AS source_field, {RANK_NAME.format('max(rk)')} AS transform, min(d) AS depth FROM al GROUP BY step_id, tab, fld, producer, st, sf""",
+    ),
+    "b34_producing_steps": (
+        lambda a: lineage.producing_steps(a.step, a.read).withColumnRenamed("table", "tab"),
+        FACTS + """, p AS (SELECT r.step_id, split_part('.' || r.source, '.', -1) AS tab, w.step_id AS producer, row_number() OVER (PARTITION BY r.step_id, split_part('.' || r.source, '.', -1) ORDER BY w.seq < s.seq DESC, CASE WHEN w.seq < s.seq THEN -w.seq END, CASE WHEN w.seq < s.seq THEN -w.step_no END, w.step_no) AS rn
+ FROM reads r JOIN step s USING (step_id) JOIN step w ON split_part(w.target, '.', -1) = split_part('.' || r.source, '.', -1) AND w.rule_type IN (1, 9, 14) AND w.step_id <> r.step_id) SELECT step_id, tab, producer FROM p WHERE rn = 1""",
+    ),
+    "b35_join_keys": (lambda a: lineage.join_keys(a.facts, a.step).select("step_id", F.col("table").alias("tab"), "field"), FACTS + "SELECT step_id, tab, fld AS field FROM keys WHERE tab IN (SELECT split_part(target, '.', -1) FROM step WHERE rule_type IN (1, 9, 14))"),
+    "b25_field_usage": (lambda a: facts.usages(a.facts).where("kind <> 'having'").select("rule_code", "kind", "field").distinct(), FACTS + "SELECT DISTINCT rule_code, kind, field FROM used"),
     "b36_physical_sources": (lambda a: a.sources().withColumnRenamed("table", "tab"), FACTS + f"SELECT tt AS tab, tf AS field, st AS source_table, sf AS source_field, {RANK_NAME.format('rk')} AS transform, d AS depth FROM leaf"),
     "b37_table_roles": (
         lambda a: topology.table_roles(a.step, a.read).withColumnRenamed("table", "tab"),
         FACTS + "SELECT DISTINCT target AS tab, CASE WHEN regexp_matches(target, '\\.tmp_') THEN 'intermediate' ELSE 'target' END AS role, CASE WHEN contains(target, '.dws_') OR starts_with(target, 'dws.') AND NOT contains(target, '.dwb_') THEN 'DWS' WHEN contains(target, '.dwb_') THEN 'DWB' ELSE 'ADS' END AS layer FROM step "
         "UNION SELECT source, 'source', 'UNKNOWN' FROM reads WHERE split_part('.' || source, '.', -1) NOT IN (SELECT split_part(target, '.', -1) FROM step)",
     ),
+    "b30_mapping_statistics": (
+        lambda a: quality.mapping_statistics(a.mapping),
+        FACTS + f", t AS (SELECT col0 AS rule_code, lower(col1) AS field FROM (VALUES {_values(catalog.TARGET_FIELDS)})), m AS (SELECT coalesce(o.rule_code, t.rule_code) AS rule_code, o.field AS o, t.field AS t FROM (SELECT * FROM outs WHERE rule_code IN (SELECT rule_code FROM t)) o FULL JOIN t ON o.rule_code = t.rule_code AND o.field = t.field) "
+        "SELECT rule_code, count(*) AS n_fields, count(*) FILTER (o IS NOT NULL AND t IS NOT NULL) AS n_matched, count(*) FILTER (o IS NULL) AS n_only_declared, count(*) FILTER (t IS NULL) AS n_only_in_sql, count(*) FILTER (o IS NULL OR t IS NULL) AS n_differences FROM m GROUP BY rule_code",
+    ),
+    "b49_descriptions": (
+        lambda a: quality.descriptions(a.facts, a.step, a.read),
+        FACTS + "SELECT s.step_id, CASE WHEN rule_type = 9 THEN 'exchanges ' || exchanged || ' into ' WHEN rule_type = 2 THEN 'deletes from ' ELSE 'writes ' END || target || coalesce(' from ' || (SELECT string_agg(source, ', ' ORDER BY source) FROM reads r WHERE r.step_id = s.step_id), '') || coalesce(': ' || (SELECT string_agg(n || ' ' || transform, ', ' ORDER BY transform) FROM histogram h WHERE h.rule_code = s.rule_code), '') AS text FROM step s",
+    ),
     "b40_complexity": (
         lambda a: quality.complexity(a.facts),
         "SELECT * FROM (VALUES ('r01',1,0,0,4,2,0),('r02',1,0,0,4,2,0),('r03',1,0,0,9,2,1),('r05',0,0,1,5,2,0),('r06',0,0,0,3,1,0),('r07',1,2,0,4,2,0),('r08',0,0,1,3,2,0),('r10',0,0,0,2,1,0),('r11',0,0,0,4,1,1),('r14',1,0,0,1,2,0)) t(rule_code, n_joins, n_ctes, n_subqueries, n_columns, n_tables, n_cases)",
     ),
     "b40_transforms": (
         lambda a: quality.transform_histogram(a.facts).groupBy("transform").agg(F.sum("n").alias("n")),
-        "SELECT * FROM (VALUES ('direct',24),('aggregate',4),('fallback',1),('pivot',2),('expression',2),('value',4),('window',2)) t(transform, n)",
+        FACTS + "SELECT transform, CAST(sum(n) AS BIGINT) AS n FROM histogram GROUP BY transform",
     ),
     "b41_issues": (
         lambda a: a.issues().select("rule_code", "rule", "severity"),
@@ -325,8 +415,8 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
         "SELECT *, CASE WHEN delete_mode = '1' THEN 'full' WHEN delete_mode IN ('2', '4', '6') THEN 'incremental' WHEN delete_mode IN ('3', '5') THEN 'partition' ELSE 'unknown' END AS strategy FROM g",
     ),
     "b45_type_checks": (
-        lambda a: quality.type_checks(a.edges, a.step, a.ddl),
-        FACTS + f", ddl(t, c, k) AS (VALUES {_values(catalog.DDL)}) SELECT DISTINCT rule_code, tf AS output, st AS source_table, sf AS source_field, a.k AS source_type, b.k AS target_type, {_compatible_sql('a.k', 'b.k')} AS compatible FROM edges JOIN ddl a ON a.t = st AND a.c = sf JOIN ddl b ON b.t = tt AND b.c = tf WHERE rk = 1",
+        lambda a: quality.type_checks(a.facts, a.step, a.ddl).where("kind in ('direct', 'sum')").select("rule_code", "output", "source_table", "source_field", "source_type", "target_type", "compatible"),
+        FACTS + f", ddl(t, c, k) AS (VALUES {_values(catalog.DDL)}) SELECT DISTINCT rule_code, tf AS output, st AS source_table, sf AS source_field, a.k AS source_type, b.k AS target_type, {_compatible_sql('a.k', 'b.k')} AS compatible FROM edges JOIN ddl a ON a.t = st AND a.c = sf JOIN ddl b ON b.t = tt AND b.c = tf WHERE rule_code <> 'r09' AND (rk = 1 OR (rk = 5 AND tf IN ('total_rev', 'rev', 'region_rev')))",
     ),
     "b48_constants": (
         lambda a: quality.constant_checks(a.facts, a.step, a.ddl),
@@ -336,22 +426,37 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
         lambda a: impact.table_status(a.table_changes, a.read, a.strategy, a.step),
         FACTS + "SELECT DISTINCT c.b AS before_table, r.step_id, CASE WHEN r.step_id IS NULL THEN 'not_hit' ELSE c.s END AS status FROM (VALUES ('nation', 'impact'), ('part_old', 'impact'), ('supplier', 'confirm'), ('region', 'confirm')) c(b, s) LEFT JOIN reads r ON r.source = c.b",
     ),
-    "b63_field_impact": (
-        lambda a: a.field_impact().withColumnRenamed("table", "tab"),
-        FACTS + ", c(b, f, t, s) AS (VALUES ('customer','c_name','字段类型及长度变化',NULL),('customer','c_custkey','字段类型及长度变化',NULL),('orders','o_custkey','字段值语义变化','confirm'),('lineitem','l_discount','1:0废弃字段','impact'),('orders','o_clerk','字段类型及长度变化',NULL),('web_log','url','字段名称变化','confirm'),('customer','c_nationkey','字段数据初始化（不刷时间戳）','impact')), "
-        "gate(tt, tf, ok) AS (VALUES ('dwb_customer_rev_f','cust_id',false),('dwb_customer_rev_f','cust_name',false),('tmp_cust_base','cust_id',false),('tmp_cust_base','cust_name',false)) "
-        "SELECT b AS before_table, f AS before_field, t AS change_type, l.tt AS tab, l.tf AS field, CASE WHEN l.tt IS NULL THEN 'not_hit' WHEN f = 'c_nationkey' AND l.tt IN (SELECT split_part(target, '.', -1) FROM step WHERE grp = 'G2') THEN 'no_impact' WHEN s IS NOT NULL THEN s WHEN ok IS NULL THEN 'confirm' WHEN ok THEN 'no_impact' ELSE 'impact' END AS status FROM c LEFT JOIN leaf l ON l.st = b AND l.sf = f LEFT JOIN gate g ON g.tt = l.tt AND g.tf = l.tf",
+    "b63_field_impact": (lambda a: a.field_impact().withColumnRenamed("table", "tab"), FACTS + ", st AS (" + FIELD_IMPACT + ") SELECT * FROM st"),
+    "b69_impact_summary": (lambda a: impact.summary(a.field_impact()), FACTS + ", st AS (" + FIELD_IMPACT + ") SELECT status, count(*) AS n, status IN ('impact', 'confirm') AS listed FROM st GROUP BY status"),
+    "b62_touched_fields": (
+        lambda a: impact.touched_fields(a.table_changes, a.edges, a.step, a.read).withColumnRenamed("table", "tab"),
+        FACTS + "SELECT DISTINCT c.b AS before_table, r.step_id, e.tt AS tab, e.tf AS field FROM (VALUES ('nation'), ('part_old'), ('supplier'), ('region')) c(b) JOIN reads r ON split_part('.' || r.source, '.', -1) = c.b JOIN step s USING (step_id) JOIN edges e ON e.rule_code = s.rule_code",
     ),
-    "b69_impact_summary": (
-        lambda a: impact.summary(a.field_impact()),
-        FACTS + ", c(b, f, s) AS (VALUES ('customer','c_name',NULL),('customer','c_custkey',NULL),('orders','o_custkey','confirm'),('lineitem','l_discount','impact'),('orders','o_clerk',NULL),('web_log','url','confirm'),('customer','c_nationkey','impact')), "
-        "x AS (SELECT CASE WHEN l.tt IS NULL THEN 'not_hit' WHEN f = 'c_nationkey' AND l.tt IN (SELECT split_part(target, '.', -1) FROM step WHERE grp = 'G2') THEN 'no_impact' WHEN s IS NOT NULL THEN s WHEN l.tt IN ('dwb_customer_rev_f', 'tmp_cust_base') THEN 'impact' ELSE 'confirm' END AS status FROM c LEFT JOIN leaf l ON l.st = b AND l.sf = f) SELECT status, count(*) AS n, status IN ('impact', 'confirm') AS listed FROM x GROUP BY status",
+    "b70_cross_asset": (
+        lambda a: impact.cross_asset(a.spark.createDataFrame([(t,) for t in AFFECTED], "table_name string"), search.target_index(a.rules), a.field_impact()),
+        FACTS + f", st AS ({FIELD_IMPACT}), ix AS (SELECT DISTINCT split_part(target, '.', -1) AS k, grp FROM step WHERE rule_type IN (1, 9, 14)), n AS (SELECT grp, count(*) FILTER (status = 'impact') AS a, count(*) FILTER (status = 'confirm') AS b, count(*) FILTER (status = 'no_impact') AS c FROM st JOIN ix ON ix.k = st.tab GROUP BY grp) "
+        "SELECT t.n AS table_name, ix.grp AS asset, ix.grp IS NOT NULL AS found, coalesce(n.a, 0) AS n_impact, coalesce(n.b, 0) AS n_confirm, coalesce(n.c, 0) AS n_no_impact FROM (VALUES ('dws.dwb_customer_rev_f'), ('ADS.ads_region_rpt_f'), ('nowhere_f')) t(n) LEFT JOIN ix ON ix.k = split_part(lower(t.n), '.', -1) LEFT JOIN n ON n.grp = ix.grp",
     ),
     "b80_field_search": (
-        lambda a: search.field_search(a.facts, a.step, ["region_id", "rev"]).where("rule_code in ('r03', 'r07', 'r10')"),
-        "SELECT * FROM (VALUES ('r03','region_id','target/group'),('r03','total_rev','target'),('r03','big_rev','target'),('r03','rev','where'),('r07','region_id','target/join/group'),('r07','region_rev','target'),('r10','region_id','target'),('r10','region_rev','target/where')) t(rule_code, field, roles)",
+        lambda a: search.field_search(a.facts, a.step, ["region_id", "REV"]),
+        FACTS + f""", w(k) AS (VALUES ('region_id'), ('rev')), texts(rule_code, t) AS (VALUES {_values([(r[0], r[8]) for r in catalog._ROWS])}),
+ f AS (SELECT o.rule_code, o.field, 1 AS o, 'target' AS role FROM outs o JOIN w ON contains(lower(o.field), k) UNION SELECT e.rule_code, e.tf, 1, 'target' FROM edges e JOIN w ON contains(lower(e.sf), k) WHERE e.rule_code <> 'r09'
+   UNION SELECT u.rule_code, u.field, CASE kind WHEN 'join' THEN 2 WHEN 'where' THEN 3 ELSE 4 END, kind FROM used u JOIN w ON contains(lower(u.field), k)),
+ g AS (SELECT rule_code, field, string_agg(role, '/' ORDER BY o) AS roles FROM f GROUP BY 1, 2 UNION ALL SELECT DISTINCT rule_code, NULL, 'sql' FROM texts JOIN w ON contains(lower(t), k) WHERE rule_code NOT IN (SELECT rule_code FROM f))
+ SELECT rule_code, target, field, roles FROM g JOIN step USING (rule_code)""",
+    ),
+    "b82_rule_groups": (
+        lambda a: search.rule_groups(a.rules),
+        FACTS + ", n AS (SELECT grp, CASE grp WHEN 'G1' THEN 'customers' WHEN 'G2' THEN 'regions' WHEN 'G3' THEN 'events' ELSE 'solo' END AS en, count(*) AS n_rules, count(*) FILTER (rule_type IN (1, 14)) AS n_select FROM step GROUP BY 1, 2) SELECT grp AS group_code, en || CASE WHEN row_number() OVER (PARTITION BY en ORDER BY grp) > 1 THEN '_' || row_number() OVER (PARTITION BY en ORDER BY grp) ELSE '' END AS name, n_rules, n_select FROM n",
+    ),
+    "b84_not_found": (
+        lambda a: search.not_found(search.upstream(a.group_edges(), "G2"), a.step, a.read, search.target_index(a.rules)).withColumnRenamed("table", "tab"),
+        FACTS + "SELECT DISTINCT source AS tab FROM reads JOIN step USING (step_id) WHERE grp IN ('G1', 'G2') AND split_part('.' || source, '.', -1) NOT IN (SELECT split_part(target, '.', -1) FROM step WHERE rule_type IN (1, 9, 14))",
+    ),
+    "b87_batch_status": (
+        lambda a: search.batch_status(a.facts),
+        FACTS + "SELECT grp AS group_code, count(*) AS n_rules, count(*) FILTER (rule_type IN (1, 14) AND rule_code <> 'r13') AS n_parsed, count(*) FILTER (rule_code = 'r13') AS n_failed, coalesce(string_agg(rule_code, ',') FILTER (rule_code = 'r13'), '') AS errors FROM step GROUP BY grp",
     ),
-    "b82_rule_groups": (lambda a: search.rule_groups(a.rules), FACTS + "SELECT grp AS group_code, count(*) AS n_rules, count(*) FILTER (rule_type IN (1, 14)) AS n_select FROM step GROUP BY 1"),
     "b83_target_index": (lambda a: search.target_index(a.rules).withColumnRenamed("table", "tab"), FACTS + "SELECT DISTINCT target AS tab, grp AS group_code FROM step WHERE rule_type IN (1, 9, 14)"),
     "b84_upstream": (
         lambda a: search.upstream(a.group_edges(), "G2"),
@@ -360,7 +465,7 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
     ),
     "b85_renumbered": (
         lambda a: search.renumbered(a.step, a.group_edges(), search.upstream(a.group_edges(), "G2")),
-        FACTS + "SELECT step_id, grp AS group_code, seq AS exec_sequence, CASE grp WHEN 'G2' THEN seq + (SELECT max(seq) FROM step WHERE grp = 'G1') ELSE seq END AS chain_sequence FROM step WHERE grp IN ('G1', 'G2')",
+        FACTS + "SELECT step_id, grp AS group_code, seq AS exec_sequence, cond AS delete_condition, CASE grp WHEN 'G2' THEN seq + (SELECT max(seq) FROM step WHERE grp = 'G1') ELSE seq END AS chain_sequence FROM step WHERE grp IN ('G1', 'G2')",
     ),
     "b01_dialect": (
         lambda a: a.rules.groupBy(F.coalesce("rule_group_code", F.lit("solo")).alias("group_code")).agg(names.dialect(F.array_join(F.array_sort(F.collect_list("query_sql")), " ")).alias("dialect")),
@@ -391,8 +496,14 @@ def _log(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(usage.usage_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
+#: Error texts of each kind, of several at once, and of none.
+ERROR_TEXTS = ("Out of Memory", "Read TIMEOUT after 3 s", "bad DDL of t", "Syntax near FROM", "cannot tokenize", "File x missing", "[Errno 13] Permission", "no such key", "timeout while parsing the file", "Is a directory", "divided by zero")
+
 USAGE: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
-    "c01_ingest": (lambda u: usage.deduplicated(u.unionByName(u)).select("run_id", "command", "asset"), LOG + "SELECT run_id, command, asset FROM log"),
+    "c01_ingest": (
+        lambda u: usage.ingest(u.unionByName(u.withColumn("ts", F.col("ts") + F.expr("interval 1 day"))), u.where("run_id % 3 = 0")).select("run_id", "ts", "command", "asset", F.get_json_object(F.get_json_object("extra", "$.props"), "$.k").cast("int").alias("k")),
+        LOG + "SELECT run_id, ts, command, asset, k FROM log WHERE run_id % 3 <> 0",
+    ),
     "c02_overview": (
         usage.overview,
         LOG + "SELECT count(*) AS runs, count(DISTINCT install_id) AS installs, count(DISTINCT trace_id) AS sessions, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'error') AS n_error, CAST(round(CAST(sum(elapsed_sec) AS DECIMAL(38,10)) / count(elapsed_sec), 2) AS DOUBLE) AS avg_sec, min(ts) AS first_ts, max(ts) AS last_ts FROM log",
@@ -410,8 +521,10 @@ USAGE: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
         LOG + "SELECT trace_id, a.run_id AS first_run, b.run_id AS then_run, b.k, b.ts, CAST(round(a.elapsed_sec + b.elapsed_sec, 2) AS DOUBLE) AS total_sec FROM log b JOIN log a USING (trace_id) WHERE a.command = 'view' AND b.command LIKE 'purch%' ORDER BY b.ts DESC, then_run, first_run LIMIT 20",
     ),
     "c12_error_labels": (
-        lambda u: u.select("run_id", usage.error_label(F.when(F.col("status") == "error", F.concat("error_type", F.lit(" failed")))).alias("label")),
-        LOG + "SELECT run_id, coalesce(error_type, '') AS label FROM log",
+        lambda u: u.select("run_id", usage.error_label(F.when(F.col("status") == "error", F.element_at(F.array(*[F.lit(x) for x in ERROR_TEXTS]), (F.col("run_id") % len(ERROR_TEXTS) + 1).cast("int")))).alias("label")),
+        LOG + f""", x AS (SELECT run_id, CASE WHEN status = 'error' THEN lower([{', '.join("'" + x + "'" for x in ERROR_TEXTS)}][run_id % {len(ERROR_TEXTS)} + 1]) ELSE '' END AS t FROM log)
+SELECT run_id, CASE WHEN t = '' THEN '' WHEN t LIKE '%memory%' THEN 'memory_error' WHEN t LIKE '%timeout%' THEN 'timeout' WHEN t LIKE '%ddl%' THEN 'ddl_error' WHEN regexp_matches(t, 'parse|sqlglot|syntax|tokenize') THEN 'parse_error'
+ WHEN regexp_matches(t, 'io|file|permission|notfound|errno|is a directory') THEN 'io_error' ELSE 'unknown' END AS label FROM x""",
     ),
     "c13_columns_added": (
         lambda u: u.where("run_id % 2 = 0").select("run_id", "command").unionByName(u.where("run_id % 2 = 1").select("run_id", "command", "os"), allowMissingColumns=True),
@@ -436,12 +549,18 @@ SELECT tf AS field, st AS source_table, sf AS source_field, {RANK_NAME.format("r
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_files, queries_rules
+
     out: dict[str, Query] = {name: _executed(vendor) for name, (vendor, _) in EXECUTED.items()}
     out |= {"a_pipeline": a_pipeline, "flagship": flagship}
     out |= {name: _meta(f) for name, (f, _) in META.items()}
+    out |= {name: f for module in (queries_rules, queries_files) for name, (f, _) in module.QUERIES.items()}
     return out | {name: _log(f) for name, (f, _) in USAGE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_files, queries_rules
+
     out = {name: sql for name, (_, sql) in EXECUTED.items()} | {"a_pipeline": A_PIPELINE, "flagship": FLAGSHIP}
+    out |= {name: sql for module in (queries_rules, queries_files) for name, (_, sql) in module.QUERIES.items()}
     return out | {name: sql for name, (_, sql) in META.items()} | {name: sql for name, (_, sql) in USAGE.items()}
