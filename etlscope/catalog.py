@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.cut import local
 from .plans.facts import RULE
 
 R01 = """
@@ -40,7 +41,7 @@ FROM (SELECT m.region AS region, m.region_rev AS amount, 'r' AS kind FROM ads.dw
 """
 R10 = "SELECT m.region_id, m.region_rev FROM ads.dws_region_mid_f m WHERE m.region_rev > 10"
 R11 = """
-SELECT e.user_id, MAX(CASE WHEN e.event_type = 'click' THEN e.value END) AS last_click, LAG(MAX(e.value)) OVER (ORDER BY e.user_id) AS before_value,
+SELECT e.user_id, MAX(CASE WHEN e.event_type = 'click' THEN e.value END) AS last_click, LAG(MAX(e.value)) OVER (PARTITION BY MOD(e.user_id, 16) ORDER BY e.user_id) AS before_value,
        COALESCE(MIN(e.value), 0) AS least
 FROM events e GROUP BY e.user_id HAVING COUNT(*) > 1
 """
@@ -70,7 +71,7 @@ def rules(spark: SparkSession) -> DataFrame:
     for i, r in enumerate(_ROWS):
         x = dict(zip(_COLUMNS, r, strict=True)) | {"project_code": "P1", "data_source": "DS1", "business_owner": "owner", "row_ord": i}
         rows.append(tuple(x[c.split()[0]] for c in RULE.replace("\n", " ").split(", ")))
-    return spark.createDataFrame(rows, RULE)
+    return local(spark, rows, RULE)
 
 
 TARGET_FIELDS = [

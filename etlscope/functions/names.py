@@ -44,8 +44,14 @@ def short_name(name: Column) -> Column:
     return F.element_at(F.split(normal(name), r"\."), -1)
 
 
+def match_kind(a: Column, b: Column) -> Column:
+    """How two table names match: full, or short where only the last parts are equal; null if they do not."""
+    return F.when(normal(a) == normal(b), "full").when(short_name(a) == short_name(b), "short")
+
+
 def is_intermediate(name: Column) -> Column:
     """Whether the table name marks a temporary table."""
+    # fixed value: the naming rule for temporary tables
     return short_name(name).rlike(r"^(tmp|temp)(\d*$|_)|_(tmp|temp)(\d*$|_)")
 
 

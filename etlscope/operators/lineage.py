@@ -37,26 +37,29 @@ def exchange_edges(outputs: DataFrame, step: DataFrame) -> DataFrame:
 def physical_sources(edges: DataFrame) -> DataFrame:
     """(table, field, source_table, source_field, transform, depth): every table that no step writes, per field.
 
-    ``edges`` as from step_edges.  One equi-join a level; only pairs that are new, or reached by a heavier transform than before,
-    go on, so neither diamonds nor cycles multiply rows.  transform is the heaviest on any way; depth the shortest way.
+    ``edges`` as from step_edges.  Ways are doubled: pairs at most 2**n steps apart are joined with themselves, so the number of rounds grows with
+    the logarithm of the longest way.  Each pair of columns is one row with the heaviest transform on any way and the length of the shortest one, so
+    neither diamonds nor cycles multiply rows; rounds end when nothing changes.
     """
     written = edges.select(F.col("to_table").alias("from_table")).distinct().withColumn("inner", F.lit(True))
-    e = cut(edges.join(written, "from_table", "left").groupBy("to_table", "to_field", "from_table", "from_field").agg(F.max(priority(F.col("transform"))).alias("rank"), F.max(F.coalesce("inner", F.lit(False))).alias("inner")))
     key = ["table", "field", "at_table", "at_field"]
-    level = e.select(F.col("to_table").alias("table"), F.col("to_field").alias("field"), F.col("from_table").alias("at_table"), F.col("from_field").alias("at_field"), "rank", "inner", F.lit(1).alias("depth"))
-    nxt = e.select(F.col("to_table").alias("at_table"), F.col("to_field").alias("at_field"), F.col("from_table").alias("n_table"), F.col("from_field").alias("n_field"), F.col("rank").alias("n_rank"), F.col("inner").alias("n_inner"))
-    seen = level
-    while True:
-        reached = level.where("inner").join(nxt, ["at_table", "at_field"]).groupBy("table", "field", F.col("n_table").alias("at_table"), F.col("n_field").alias("at_field")).agg(
-            F.max(F.greatest("rank", "n_rank")).alias("rank"), F.max("n_inner").alias("inner"), (F.min("depth") + 1).alias("depth")
+    first = edges.select(F.col("to_table").alias("table"), F.col("to_field").alias("field"), F.col("from_table").alias("at_table"), F.col("from_field").alias("at_field"), priority(F.col("transform")).alias("rank"), F.lit(1).cast("long").alias("depth"), "from_table")
+    first = first.join(written, "from_table", "left").withColumn("inner", F.coalesce("inner", F.lit(False))).drop("from_table")
+    merged = lambda df: df.groupBy(*key).agg(F.max("rank").alias("rank"), F.min("depth").alias("depth"), F.max("inner").alias("inner"))
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum("rank"), F.sum("depth")).first())
+    pairs = cut(merged(first))
+    before = mark(pairs)
+    while before[0]:
+        on = pairs.select(F.col("table").alias("at_table"), F.col("field").alias("at_field"), F.col("at_table").alias("n_table"), F.col("at_field").alias("n_field"), F.col("rank").alias("n_rank"), F.col("depth").alias("n_depth"), F.col("inner").alias("n_inner"))
+        longer = pairs.where("inner").join(on, ["at_table", "at_field"]).select(
+            "table", "field", F.col("n_table").alias("at_table"), F.col("n_field").alias("at_field"), F.greatest("rank", "n_rank").alias("rank"), (F.col("depth") + F.col("n_depth")).alias("depth"), F.col("n_inner").alias("inner")
         )
-        known = seen.groupBy(*key).agg(F.max("rank").alias("had"))
-        level = cut(reached.join(known, key, "left").where("had is null or rank > had").drop("had"))
-        if level.isEmpty():
+        pairs = cut(merged(pairs.unionByName(longer)))
+        now = mark(pairs)
+        if now == before:
             break
-        seen = seen.unionByName(level)
-    out = seen.where("not inner").groupBy("table", "field", F.col("at_table").alias("source_table"), F.col("at_field").alias("source_field")).agg(F.max("rank").alias("rank"), F.min("depth").alias("depth"))
-    return out.select("table", "field", "source_table", "source_field", rank_name(F.col("rank")).alias("transform"), "depth")
+        before = now
+    return pairs.where("not inner").select("table", "field", F.col("at_table").alias("source_table"), F.col("at_field").alias("source_field"), rank_name(F.col("rank")).alias("transform"), F.col("depth").cast("int").alias("depth"))
 
 
 def producing_steps(step: DataFrame, read: DataFrame, parity: bool = False) -> DataFrame:

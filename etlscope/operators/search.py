@@ -74,6 +74,11 @@ def upstream(edges: DataFrame, start: str, max_depth: int | None = None) -> Data
     return seen.groupBy("group_code").agg(F.min("depth").alias("depth"))
 
 
+def chain_schedule(groups: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(group_code, depth, task_name, schedule_cron): the scheduler tasks of each group of a chain, null where there is none."""
+    return groups.join(tasks.select("group_code", "task_name", "schedule_cron"), "group_code", "left").select("group_code", "depth", "task_name", "schedule_cron")
+
+
 def not_found(groups: DataFrame, step: DataFrame, read: DataFrame, index: DataFrame) -> DataFrame:
     """(table): what the groups read and no group writes, the sources of the whole chain."""
     r = read.join(step.select("step_id", "group_code"), "step_id").join(groups.select("group_code"), "group_code", "left_semi")

@@ -38,6 +38,11 @@ def reads(facts: FactTables, step: DataFrame) -> DataFrame:
     return step_tables(facts).join(step.select("rule_code", "step_id", "step_no", "exec_sequence", "target", "rule_type"), "rule_code").withColumnRenamed("name", "source")
 
 
+def target_tables(step: DataFrame) -> DataFrame:
+    """(written, k): the tables that steps write, with their short names."""
+    return step.select(F.col("target").alias("written"), short_name(F.col("target")).alias("k")).distinct()
+
+
 def dependencies(step: DataFrame, read: DataFrame) -> DataFrame:
     """(from_step, to_step, table, kind): writer to reader by short table name, and staging writer to exchange."""
     w = step.where(F.col("rule_type").isin(*SELECT_TYPES)).select(F.col("step_id").alias("from_step"), F.col("target").alias("written"))

@@ -15,11 +15,9 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..functions.names import short_name
-from .cut import new_folder
+from .cut import arrow_table, new_folder
 from .frontend import PRIORITY, Facts, parse, parser_session
 from .resolve import Resolved, Resolver
 
@@ -77,12 +75,6 @@ def _rows(code: str, f: Facts, r: Resolved) -> dict[str, list[tuple]]:
     return {n: [(code, *x) for x in rows] for n, rows in lists.items()}
 
 
-def _table(name: str, rows: list[tuple]) -> pa.Table:
-    schema = to_arrow_schema(StructType.fromDDL(SCHEMAS[name]))
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def _short(name: str) -> str:
     return name.lower().rsplit(".", 1)[-1]
 
@@ -94,7 +86,7 @@ def extract(spark: SparkSession, rules: DataFrame, threads: int = 8, ddl: DataFr
     a table that another rule writes, that rule's output columns do.
     """
     wanted = rules.where(F.col("rule_type").isin(*SELECT_TYPES) & (F.coalesce(F.trim("query_sql"), F.lit("")) != "")).select("rule_code", "query_sql", F.lower("target_table").alias("target"))
-    it: Iterator = iter(wanted.toLocalIterator())
+    it: Iterator = iter(wanted.collect() if wanted.isLocal() else wanted.toLocalIterator())
     parts: dict[str, list[pa.Table]] = {n: [] for n in SCHEMAS}
     folder, n_batches = None, 0
     written: dict[str, list[str]] = {}  # columns of tables that rules write
@@ -102,7 +94,7 @@ def extract(spark: SparkSession, rules: DataFrame, threads: int = 8, ddl: DataFr
 
     def store(rows: dict[str, list[tuple]]) -> None:
         for n, x in rows.items():
-            parts[n].append(_table(n, x))
+            parts[n].append(arrow_table(x, SCHEMAS[n]))
 
     def resolved(code: str, target: str, facts: Facts, known: dict[str, list[str]], last: bool) -> bool:
         r = Resolver(facts, known).run()

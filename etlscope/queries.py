@@ -12,7 +12,7 @@ from . import api, catalog
 from .functions import names
 from .operators import impact, lineage, quality, search, topology, usage
 from .plans import execute, facts
-from .plans.cut import cut
+from .plans.cut import cut, local
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,8 +89,8 @@ EXECUTED: dict[str, tuple[str, str]] = {
         "SELECT user_id AS u, COUNT(*) FILTER (event_type = 'click') AS clicks, COUNT(*) FILTER (event_type = 'view') AS views, COUNT(*) FILTER (event_type = 'purchase') AS buys FROM events GROUP BY 1",
     ),
     "a28_window_latest": (
-        "SELECT q.u, q.event_id, q.prev_id, q.rk FROM (SELECT e.user_id AS u, e.event_id, ROW_NUMBER() OVER (PARTITION BY e.user_id ORDER BY e.ts DESC, e.event_id DESC) AS rn, LAG(e.event_id) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS prev_id, DENSE_RANK() OVER (ORDER BY e.user_id) AS rk FROM events e) q WHERE q.rn = 1",
-        "SELECT u, event_id, prev_id, rk FROM (SELECT user_id AS u, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, LAG(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id, DENSE_RANK() OVER (ORDER BY user_id) AS rk FROM events) WHERE rn = 1",
+        "SELECT q.u, q.event_id, q.prev_id, q.rk FROM (SELECT e.user_id AS u, e.event_id, ROW_NUMBER() OVER (PARTITION BY e.user_id ORDER BY e.ts DESC, e.event_id DESC) AS rn, LAG(e.event_id) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS prev_id, DENSE_RANK() OVER (PARTITION BY e.event_type ORDER BY e.user_id) AS rk FROM events e) q WHERE q.rn = 1",
+        "SELECT u, event_id, prev_id, rk FROM (SELECT user_id AS u, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, LAG(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id, DENSE_RANK() OVER (PARTITION BY event_type ORDER BY user_id) AS rk FROM events) WHERE rn = 1",
     ),
     "a30_fallbacks": (
         "SELECT n.n_name AS name, NVL(s.k, -1) AS a, COALESCE(s.k, n.n_regionkey) AS b, IFNULL(s.k, 0) AS c FROM nation n LEFT JOIN (SELECT s_nationkey AS nk, MIN(s_suppkey) AS k FROM supplier GROUP BY s_nationkey) s ON s.nk = n.n_nationkey",
@@ -140,6 +140,22 @@ SELECT b.cust_id, cust_name, nation, region_id, CAST(round(SUM(rev), 0) AS BIGIN
 FROM o LEFT JOIN b ON o.cust_id = b.cust_id WHERE rev > 0 GROUP BY 1, 2, 3, 4, 7
 """
 
+def a_pipeline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rule groups in a row: the customer table with its second writer, then the region tables up to the report."""
+    execute.register(spark, sf_dir)
+    rules = [r | {"exec_sequence": r["exec_sequence"] + (10 if r["rule_group_code"] == "G2" else 0)} for r in _rule_rows() if r["rule_code"] in ("r01", "r02", "r03", "r05", "r06", "r07", "r08")]
+    return execute.run_rules(spark, rules, "r08").select("region", F.round("amount", 2).cast("double").alias("amount"), "pos")
+
+
+A_PIPELINE_REPORT = """
+WITH o AS (SELECT o_orderkey, o_custkey AS cust_id, SUM(l_extendedprice * (1 - l_discount)) AS rev FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+b AS (SELECT c_custkey AS cust_id, n_regionkey AS region_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20),
+f AS (SELECT b.cust_id, region_id, SUM(rev) AS total_rev FROM o LEFT JOIN b ON o.cust_id = b.cust_id WHERE rev > 0 GROUP BY 1, 2),
+g AS (SELECT * FROM f UNION ALL SELECT c_custkey, c_nationkey, 0 FROM customer WHERE c_custkey NOT IN (SELECT cust_id FROM f WHERE cust_id IS NOT NULL)),
+u AS (SELECT r_name AS region, SUM(total_rev) AS amount, 'r' AS kind FROM g JOIN region ON region_id = r_regionkey GROUP BY 1 UNION ALL SELECT n_name, n_nationkey, 'n' FROM nation)
+SELECT region, round(amount, 2) AS amount, CAST(row_number() OVER (PARTITION BY kind ORDER BY amount DESC, region) AS INT) AS pos FROM u
+"""
+
 # --- rule metadata ---------------------------------------------------------------------------------------------------
 
 #: The input facts of the catalog, written by hand from its SQL, for the equivalents below.
@@ -209,7 +225,7 @@ class Analysis:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.rules = catalog.rules(spark)
-        self.ddl = spark.createDataFrame(catalog.DDL, "table string, column string, type string")
+        self.ddl = local(spark, catalog.DDL, "table string, column string, type string")
         self.facts = facts.extract(spark, self.rules, ddl=self.ddl)
         self.edges = self.facts.edges
         self.strategy = topology.load_strategy(self.rules)
@@ -236,7 +252,7 @@ class Analysis:
 
     @cached_property
     def declared(self) -> DataFrame:
-        return self.spark.createDataFrame(catalog.TARGET_FIELDS, "rule_code string, target_field string, source_field string, field_type string")
+        return local(self.spark, catalog.TARGET_FIELDS, "rule_code string, target_field string, source_field string, field_type string")
 
     @cached_property
     def mapping(self) -> DataFrame:
@@ -244,11 +260,11 @@ class Analysis:
 
     @cached_property
     def table_changes(self) -> DataFrame:
-        return self.spark.createDataFrame(catalog.TABLE_CHANGES, "before_table string, after_table string, is_ping_cut boolean, note string, change_type string")
+        return local(self.spark, catalog.TABLE_CHANGES, "before_table string, after_table string, is_ping_cut boolean, note string, change_type string")
 
     @cached_property
     def field_changes(self) -> DataFrame:
-        return self.spark.createDataFrame(catalog.FIELD_CHANGES, "before_table string, before_field string, before_type string, after_table string, after_field string, after_type string, change_type string")
+        return local(self.spark, catalog.FIELD_CHANGES, "before_table string, before_field string, before_type string, after_table string, after_field string, after_type string, change_type string")
 
     @cached_property
     def hops(self) -> DataFrame:
@@ -433,7 +449,7 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
         FACTS + "SELECT DISTINCT c.b AS before_table, r.step_id, e.tt AS tab, e.tf AS field FROM (VALUES ('nation'), ('part_old'), ('supplier'), ('region')) c(b) JOIN reads r ON split_part('.' || r.source, '.', -1) = c.b JOIN step s USING (step_id) JOIN edges e ON e.rule_code = s.rule_code",
     ),
     "b70_cross_asset": (
-        lambda a: impact.cross_asset(a.spark.createDataFrame([(t,) for t in AFFECTED], "table_name string"), search.target_index(a.rules), a.field_impact()),
+        lambda a: impact.cross_asset(local(a.spark, [(t,) for t in AFFECTED], "table_name string"), search.target_index(a.rules), a.field_impact()),
         FACTS + f", st AS ({FIELD_IMPACT}), ix AS (SELECT DISTINCT split_part(target, '.', -1) AS k, grp FROM step WHERE rule_type IN (1, 9, 14)), n AS (SELECT grp, count(*) FILTER (status = 'impact') AS a, count(*) FILTER (status = 'confirm') AS b, count(*) FILTER (status = 'no_impact') AS c FROM st JOIN ix ON ix.k = st.tab GROUP BY grp) "
         "SELECT t.n AS table_name, ix.grp AS asset, ix.grp IS NOT NULL AS found, coalesce(n.a, 0) AS n_impact, coalesce(n.b, 0) AS n_confirm, coalesce(n.c, 0) AS n_no_impact FROM (VALUES ('dws.dwb_customer_rev_f'), ('ADS.ads_region_rpt_f'), ('nowhere_f')) t(n) LEFT JOIN ix ON ix.k = split_part(lower(t.n), '.', -1) LEFT JOIN n ON n.grp = ix.grp",
     ),
@@ -453,6 +469,15 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
         lambda a: search.not_found(search.upstream(a.group_edges(), "G2"), a.step, a.read, search.target_index(a.rules)).withColumnRenamed("table", "tab"),
         FACTS + "SELECT DISTINCT source AS tab FROM reads JOIN step USING (step_id) WHERE grp IN ('G1', 'G2') AND split_part('.' || source, '.', -1) NOT IN (SELECT split_part(target, '.', -1) FROM step WHERE rule_type IN (1, 9, 14))",
     ),
+    "b86_chain_schedule": (
+        lambda a: search.chain_schedule(search.upstream(a.group_edges(), "G2"), local(a.spark, [("G1", "LOAD_CUSTOMERS_F", "0 1 * * *"), ("G3", "LOAD_EVENTS_F", "0 2 * * *")], "group_code string, task_name string, schedule_cron string")),
+        FACTS + ", ge AS (SELECT DISTINCT r.grp AS reader, w.grp AS writer FROM reads x JOIN step r ON r.step_id = x.step_id JOIN step w ON w.rule_type IN (1, 9, 14) AND split_part('.' || x.source, '.', -1) = split_part(w.target, '.', -1) WHERE r.grp <> w.grp), "
+        "up(g, d) AS (SELECT 'G2', 0 UNION SELECT writer, d + 1 FROM up JOIN ge ON reader = g WHERE d < 6) SELECT g AS group_code, min(d) AS depth, t AS task_name, c AS schedule_cron FROM up LEFT JOIN (VALUES ('G1', 'LOAD_CUSTOMERS_F', '0 1 * * *'), ('G3', 'LOAD_EVENTS_F', '0 2 * * *')) s(k, t, c) ON k = g GROUP BY g, t, c",
+    ),
+    "b11_match_kind": (
+        lambda a: a.read.join(topology.target_tables(a.step), names.short_name(F.col("source")) == F.col("k")).select("step_id", "source", "written", names.match_kind(F.col("source"), F.col("written")).alias("match_kind")).distinct(),
+        FACTS + "SELECT DISTINCT r.step_id, r.source, w.target AS written, CASE WHEN r.source = w.target THEN 'full' ELSE 'short' END AS match_kind FROM reads r JOIN step w ON split_part('.' || r.source, '.', -1) = split_part(w.target, '.', -1)",
+    ),
     "b87_batch_status": (
         lambda a: search.batch_status(a.facts),
         FACTS + "SELECT grp AS group_code, count(*) AS n_rules, count(*) FILTER (rule_type IN (1, 14) AND rule_code <> 'r13') AS n_parsed, count(*) FILTER (rule_code = 'r13') AS n_failed, coalesce(string_agg(rule_code, ',') FILTER (rule_code = 'r13'), '') AS errors FROM step GROUP BY grp",
@@ -472,11 +497,11 @@ META: dict[str, tuple[Callable[[Analysis], DataFrame], str]] = {
         "SELECT * FROM (VALUES ('G1', 'oracle'), ('G2', 'oracle'), ('G3', 'dws'), ('solo', 'dws')) t(group_code, dialect)",
     ),
     "b46_type_grid": (
-        lambda a: a.spark.createDataFrame(TYPE_GRID, "s string, t string").select("s", "t", names.compatible(F.col("s"), F.col("t")).alias("ok")),
+        lambda a: local(a.spark, TYPE_GRID, "s string, t string").select("s", "t", names.compatible(F.col("s"), F.col("t")).alias("ok")),
         f"WITH x(s, t) AS (VALUES {_values(TYPE_GRID)}) SELECT s, t, {_compatible_sql('s', 't')} AS ok FROM x",
     ),
     "b12_names": (
-        lambda a: a.spark.createDataFrame([(x,) for x in NAME_GRID], "n string").select("n", names.short_name(F.col("n")).alias("short"), names.is_intermediate(F.col("n")).alias("inter"), names.layer(F.col("n")).alias("layer")),
+        lambda a: local(a.spark, [(x,) for x in NAME_GRID], "n string").select("n", names.short_name(F.col("n")).alias("short"), names.is_intermediate(F.col("n")).alias("inter"), names.layer(F.col("n")).alias("layer")),
         "SELECT * FROM (VALUES ('DWS.Tmp1','tmp1',true,'DWS'),('x_tmp2','x_tmp2',true,'UNKNOWN'),('tmp_x','tmp_x',true,'TMP'),('a_temp_b','a_temp_b',true,'UNKNOWN'),('s.a_mid_f','a_mid_f',false,'UNKNOWN'),('ods.orders','orders',false,'ODS'),('x.dim_date','dim_date',false,'DIM'),('x.dwd_a','dwd_a',false,'DWB'),('rpt.a','a',false,'ADS'),('tempo','tempo',false,'UNKNOWN')) t(n, short, inter, layer)",
     ),
 }
@@ -552,7 +577,7 @@ def queries() -> dict[str, Query]:
     from . import queries_files, queries_rules
 
     out: dict[str, Query] = {name: _executed(vendor) for name, (vendor, _) in EXECUTED.items()}
-    out |= {"a_pipeline": a_pipeline, "flagship": flagship}
+    out |= {"a_pipeline": a_pipeline, "a_pipeline_report": a_pipeline_report, "flagship": flagship}
     out |= {name: _meta(f) for name, (f, _) in META.items()}
     out |= {name: f for module in (queries_rules, queries_files) for name, (f, _) in module.QUERIES.items()}
     return out | {name: _log(f) for name, (f, _) in USAGE.items()}
@@ -561,6 +586,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import queries_files, queries_rules
 
-    out = {name: sql for name, (_, sql) in EXECUTED.items()} | {"a_pipeline": A_PIPELINE, "flagship": FLAGSHIP}
+    out = {name: sql for name, (_, sql) in EXECUTED.items()} | {"a_pipeline": A_PIPELINE, "a_pipeline_report": A_PIPELINE_REPORT, "flagship": FLAGSHIP}
     out |= {name: sql for module in (queries_rules, queries_files) for name, (_, sql) in module.QUERIES.items()}
     return out | {name: sql for name, (_, sql) in META.items()} | {name: sql for name, (_, sql) in USAGE.items()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans.cut import new_folder
+from .plans.cut import local, new_folder
 from .sinks import render
 from .sources import changes, repository, rules
 
@@ -66,7 +66,7 @@ def b03_root(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = _files(spark, marks)
         found = repository.find_root(spark, f"{folder}/BFT/a/b")
         out.append((r.r_regionkey, bool(found) and found.rstrip("/").endswith(folder.rsplit("/", 1)[-1])))
-    return spark.createDataFrame(out, "region int, found boolean")
+    return local(spark, out, "region int, found boolean")
 
 
 def _ddl_folder(spark: SparkSession, sf_dir: str) -> str:
@@ -116,8 +116,7 @@ def b08_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _ddl_folder(spark, sf_dir)
     tables = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("dws.t_"), F.col("n_nationkey").cast("string"), F.lit("_f")).alias("table"))
     files = repository._texts(spark, f"{folder}/view", "*.sql")
-    text = F.udf(repository.view_query)
-    return repository.find_views(tables, files).join(files, "path").select(F.col("table").alias("tab"), F.element_at(F.split("path", "/"), -1).alias("file"), text("text").alias("query"))
+    return repository.find_views(tables, files).join(repository.view_queries(files), "path").select(F.col("table").alias("tab"), F.element_at(F.split("path", "/"), -1).alias("file"), "query")
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> str:
@@ -223,7 +222,7 @@ def b97_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _result(spark)
     lines = render.full_note("G1", a.result(), a.ddl).split("\n")
     kept = [x for x in lines if x.startswith(("# ", "## ", "  step_")) or (x.startswith("| step_") and x.endswith("_f |") and x.count("|") == 5) or (x[:3] in ("| 1", "| 2", "| 3", "| 4"))]
-    return spark.createDataFrame([(x,) for x in kept], "line string")
+    return local(spark, [(x,) for x in kept], "line string")
 
 
 def b99_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +230,7 @@ def b99_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{new_folder(spark, 'impact')}/impact.xlsx"
     put(spark, path, render.workbook({"impact": render.sheet(a.field_impact().withColumnRenamed("table", "tab"), "before_table", "before_field", "tab", "field")}))
     head, *rows = rules.sheets(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))["impact"]
-    return spark.createDataFrame([tuple((x or None) for x in (*r, *[""] * (len(head) - len(r)))) for r in rows], ", ".join(f"{h} string" for h in head))
+    return local(spark, [tuple((x or None) for x in (*r, *[""] * (len(head) - len(r)))) for r in rows], ", ".join(f"{h} string" for h in head))
 
 
 def b100_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.names import short_name
 from .operators import impact, lineage, quality, topology
 from .plans import facts
-from .plans.cut import cut
+from .plans.cut import cut, local
 
 Query = Callable[[SparkSession, str], DataFrame]
 FIELDS = [c.strip().split(" ") for c in facts.RULE.replace("\n", " ").split(",")]
@@ -147,7 +147,7 @@ def _regions(spark: SparkSession, sf_dir: str, shapes: dict[str, str], target: s
 
 
 def _shapes(spark: SparkSession, sf_dir: str) -> facts.FactTables:
-    return facts.extract(spark, _regions(spark, sf_dir, {n: t for n, (t, _) in SHAPES.items()}), ddl=spark.createDataFrame(KNOWN, "table string, column string, type string"))
+    return facts.extract(spark, _regions(spark, sf_dir, {n: t for n, (t, _) in SHAPES.items()}), ddl=local(spark, KNOWN, "table string, column string, type string"))
 
 
 def _literal(v: str | None) -> str:
@@ -168,19 +168,19 @@ def a24_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b45_type_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules, ddl = _regions(spark, sf_dir, {n: t for n, (t, _) in TYPES.items()}, "typed"), spark.createDataFrame(KNOWN, "table string, column string, type string")
+    rules, ddl = _regions(spark, sf_dir, {n: t for n, (t, _) in TYPES.items()}, "typed"), local(spark, KNOWN, "table string, column string, type string")
     found = quality.type_checks(facts.extract(spark, rules, ddl=ddl), topology.steps(rules), ddl)
     return found.select("rule_code", "output", "kind", "source_field", "source_type", "target_type", "compatible")
 
 
 def b67_cast_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The type of known.a or known.b changes; gates are the DDL of the target and the casts on the way."""
-    rules, ddl = _regions(spark, sf_dir, {n: t for n, (t, _) in TYPES.items() if n == "t_cast"}, "typed"), spark.createDataFrame(KNOWN, "table string, column string, type string")
+    rules, ddl = _regions(spark, sf_dir, {n: t for n, (t, _) in TYPES.items() if n == "t_cast"}, "typed"), local(spark, KNOWN, "table string, column string, type string")
     f, step = facts.extract(spark, rules, ddl=ddl), topology.steps(rules)
     change = [("known", "a", "varchar(10)", "known", "a", f"varchar({n})", "字段类型及长度变化") for n in (15, 25, 40)]
-    changes = spark.createDataFrame(change, "before_table string, before_field string, before_type string, after_table string, after_field string, after_type string, change_type string")
-    none = spark.createDataFrame([], "before_table string, change_type string")
-    strategy = spark.createDataFrame([("typed", "full")], "table string, strategy string")
+    changes = local(spark, change, "before_table string, before_field string, before_type string, after_table string, after_field string, after_type string, change_type string")
+    none = local(spark, [], "before_table string, change_type string")
+    strategy = local(spark, [("typed", "full")], "table string, strategy string")
     out = []
     for gates, known in (("both", ddl), ("cast", ddl.where("table <> 'typed'"))):
         for n, _, _, _, _, after, _ in ((c[0], *c[1:]) for c in change):
@@ -197,8 +197,8 @@ def b41_missing_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = _regions(spark, sf_dir, {n: t for n, (t, _) in JOINED.items()})
     f, step = facts.extract(spark, rules), topology.steps(rules)
     read = topology.reads(f, step)
-    none = spark.createDataFrame([], "rule_code string, field string, state string, transform string")
-    found = quality.issues(f, none, topology.self_references(step, read), spark.createDataFrame([], "step_id string"), step)
+    none = local(spark, [], "rule_code string, field string, state string, transform string")
+    found = quality.issues(f, none, topology.self_references(step, read), local(spark, [], "step_id string"), step)
     return found.where("rule = 'missing_on'").select("rule_code", "severity")
 
 

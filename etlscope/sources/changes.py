@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.cut import local
 from .rules import _header, sheets
 
 TABLE = "before_table string, after_table string, is_ping_cut boolean, note string, change_type string"
@@ -27,7 +28,7 @@ def read_changes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     find = lambda word: next((rows for name, rows in book.items() if word in name), [])
     tables = [(r["before_table"], r["after_table"], r["is_ping_cut"].lower() in YES, r["note"], r["change_type"]) for r in _rows(find("表级"), TABLE_WORDS)]
     fields = [tuple(r[n] for n in FIELD_WORDS) for r in _rows(find("字段"), FIELD_WORDS)]
-    return spark.createDataFrame(tables, TABLE), spark.createDataFrame(fields, FIELD)
+    return local(spark, tables, TABLE), local(spark, fields, FIELD)
 
 
 def read_affected(spark: SparkSession, path: str) -> DataFrame:
@@ -35,4 +36,4 @@ def read_affected(spark: SparkSession, path: str) -> DataFrame:
     book = sheets(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
     rows = next((rows for name, rows in book.items() if "影响" in name), [])
     found = [(i, r["table_name"]) for i, r in enumerate(_rows(rows, {"table_name": ("表",)}), 1) if r["table_name"]]
-    return spark.createDataFrame(found, "ordinal int, table_name string")
+    return local(spark, found, "ordinal int, table_name string")

@@ -109,6 +109,15 @@ def read_ddl(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("r", best).where("r = 1").drop("r", "path")
 
 
+def view_queries(files: DataFrame) -> DataFrame:
+    """(path, query): the SELECT of each view file."""
+    def run(frames):
+        for f in frames:
+            yield f.assign(query=[view_query(t) for t in f.text])[["path", "query"]]
+
+    return files.select("path", "text").mapInPandas(run, "path string, query string")
+
+
 def _stem() -> Column:
     return F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\.[^.]*$", "")
 

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import local
 from ..plans.facts import RULE, SKIPPED_TYPES, VARIABLE_TYPE
 
 # The headers that rule packages use.
@@ -88,7 +89,7 @@ def _frames(spark: SparkSession, rules: list[dict], fields: list[dict], variable
     made = [r for i, x in enumerate(rules) if (r := _rule(x, i))]
     pick = lambda rows, names: [tuple(str(r.get(_header(h)) or "").strip() for h in names) for r in rows]
     own = [r for r in made if r[2] != VARIABLE_TYPE]
-    return spark.createDataFrame(own, RULE), spark.createDataFrame(pick(fields, FIELD_HEADERS), FIELDS), spark.createDataFrame(pick(variables, VARIABLE_HEADERS), VARIABLES)
+    return local(spark, own, RULE.replace("\n", " ")), local(spark, pick(fields, FIELD_HEADERS), FIELDS), local(spark, pick(variables, VARIABLE_HEADERS), VARIABLES)
 
 
 def read_workbook(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
