@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprint, mixing, neardup, quality, substring, tokens, toxicity, warc
+from . import chat, decontam, fingerprint, mixing, neardup, quality, sqlhash, substring, tokens, toxicity, warc
 from .util import table
 
 
@@ -120,5 +120,35 @@ SELECT a.conv_id, n_turns, turns_sha256, length(lost) AS loss_chars, sha256(lost
 """
 
 
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT rid, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS t FROM d),
+u AS (SELECT DISTINCT t FROM s),
+{sqlhash.xxh64("x", "u", "t", "42", "t")},
+f AS (SELECT rid, {sqlhash.fingerprint()} AS fp FROM s JOIN x USING (t) GROUP BY rid),
+p AS MATERIALIZED (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN f USING (rid)),
+c AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM p GROUP BY fp),
+e AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM c a JOIN c b ON bit_count(xor(a.fp, b.fp)) <= {neardup.RADIUS}),
+r(fp, cur) AS (SELECT fp, fp FROM c UNION SELECT r.fp, e.b FROM r JOIN e ON e.a = r.cur),
+g AS (SELECT r.fp, min(c.least) AS component_id FROM r JOIN c ON c.fp = r.cur GROUP BY r.fp)
+SELECT doc_id, {sqlhash.hex16("p.fp")} AS fingerprint, component_id FROM p JOIN g ON g.fp = p.fp
+"""
+OP6_SQL = rf"""
+WITH o AS (SELECT row_number() OVER (ORDER BY doc_id DESC) AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT a.rn, a.doc_id, a.text, b.rn AS next_rn, substr(a.text, 1, length(a.text) - length(a.text) // 2) || substr(b.text, 1, length(a.text) // 2) AS edited FROM o a JOIN o b ON b.rn = CASE WHEN a.rn = (SELECT max(rn) FROM o) THEN 1 ELSE a.rn + 1 END),
+v AS (SELECT rn, 0 AS which, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM n UNION ALL SELECT rn, 1, regexp_extract_all(edited, '[^\x20\x09-\x0D]+') FROM n),
+t AS (SELECT rn, which, ws[i] AS a, ws[i + 1] AS b FROM (SELECT rn, which, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM v WHERE len(ws) > 0)),
+k AS (SELECT DISTINCT a FROM t),
+{sqlhash.xxh64("ha", "k", "a", "42", "a")},
+q AS (SELECT DISTINCT t.a, b, h AS ah FROM t JOIN ha ON ha.a = t.a WHERE b IS NOT NULL),
+{sqlhash.xxh64("hb", "q", "b", "ah", "a, b")},
+w AS (SELECT rn, which, coalesce(hb.h, ha.h) AS h, least(octet_length(encode(t.a)) + octet_length(encode(coalesce(t.b, ''))), {fingerprint.MOST_WEIGHT}) AS weight FROM t JOIN ha ON ha.a = t.a LEFT JOIN hb ON hb.a = t.a AND hb.b = t.b),
+f AS (SELECT rn, which, {sqlhash.fingerprint("h", "weight")} AS fp FROM w GROUP BY rn, which),
+z AS MATERIALIZED (SELECT n.*, coalesce(x.fp, 0::UBIGINT) AS fp, coalesce(y.fp, 0::UBIGINT) AS efp FROM n LEFT JOIN f x ON x.rn = n.rn AND x.which = 0 LEFT JOIN f y ON y.rn = n.rn AND y.which = 1)
+SELECT z.doc_id, CAST(length(z.text) AS BIGINT) AS n_chars, sha256(z.edited) AS edited_sha256, {sqlhash.hex16("z.fp")} AS fingerprint, {sqlhash.hex16("z.efp")} AS edited_fingerprint, CAST(1 - bit_count(xor(z.fp, z.efp)) / 64.0 AS DOUBLE) AS near_edited,
+  CAST(1 - bit_count(xor(z.fp, m.fp)) / 64.0 AS DOUBLE) AS near_next, CASE WHEN z.doc_id % {fingerprint.QUERY_EVERY} = 0 THEN (SELECT count(*) FROM z y WHERE bit_count(xor(y.fp, z.fp)) <= {fingerprint.RADIUS}) - 1 END AS n_near FROM z JOIN z m ON m.rn = z.next_rn
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op10_benchmark_decontamination": OP10_SQL}
+    return {"op6_document_fingerprints": OP6_SQL, "op7_simhash_near_dedup": OP7_SQL, "op2_chat_formatting": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op10_benchmark_decontamination": OP10_SQL}
