@@ -102,14 +102,19 @@ def write_groups(step: DataFrame, selfs: DataFrame) -> DataFrame:
 
 
 def over_constraints(step: DataFrame, edges: DataFrame) -> DataFrame:
-    """(step_id, n_waits, n_needed): steps whose sequence makes them wait for steps they do not need."""
-    a = step.select("group_code", F.col("step_id").alias("waiting"), F.col("exec_sequence").alias("seq"))
-    b = step.select("group_code", F.col("step_id").alias("before"), F.col("exec_sequence").alias("seq_b"))
-    waits = a.join(b, "group_code").where("seq_b < seq").select("waiting", "before", "seq", "seq_b")
-    real = edges.select(F.col("from_step").alias("before"), F.col("to_step").alias("waiting"), F.lit(1).alias("need")).distinct()
-    both = waits.join(real, ["waiting", "before"], "left")
-    g = both.groupBy("waiting").agg(F.count("*").alias("n_waits"), F.count("need").alias("n_needed"), F.min(F.when(F.col("need") == 1, (F.col("seq_b") == F.col("seq") - 1).cast("int"))).alias("all_near"))
-    return g.where("n_needed < n_waits and (n_needed = 0 or all_near = 0)").select(F.col("waiting").alias("step_id"), "n_waits", "n_needed")
+    """(step_id, n_waits, n_needed): steps whose sequence makes them wait for steps they do not need.
+
+    Waits are counted by running sums over the sequences of a group, so steps are never paired with all those before them.
+    """
+    level = step.groupBy("group_code", "exec_sequence").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("group_code").orderBy("exec_sequence").rowsBetween(Window.unboundedPreceding, -1)
+    waits = step.join(level.select("group_code", "exec_sequence", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_waits")), ["group_code", "exec_sequence"])
+    own = step.select(F.col("step_id").alias("to_step"), "group_code", F.col("exec_sequence").alias("seq"))
+    other = step.select(F.col("step_id").alias("from_step"), "group_code", F.col("exec_sequence").alias("seq_b"))
+    real = edges.select("from_step", "to_step").distinct().join(own, "to_step").join(other, ["from_step", "group_code"]).where("seq_b < seq")
+    real = real.groupBy(F.col("to_step").alias("step_id")).agg(F.count("*").alias("n_needed"), F.min((F.col("seq_b") == F.col("seq") - 1).cast("int")).alias("all_near"))
+    g = waits.join(real, "step_id", "left").select("step_id", "n_waits", F.coalesce("n_needed", F.lit(0)).alias("n_needed"), "all_near")
+    return g.where("n_needed < n_waits and (n_needed = 0 or all_near = 0)").select("step_id", "n_waits", "n_needed")
 
 
 def scenarios(step: DataFrame) -> DataFrame:
