@@ -181,6 +181,17 @@ def test_fingerprint_values(spark, docs):
         assert got[i] == sum(1 << k for k in range(64) if 2 * votes[k] > total)
 
 
+def test_fingerprints_of_equal_and_null_ids(odd):
+    """Descending ids, null ones last; equal ones by the hash of the text, then by the text."""
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64((t or "").encode(), seed=42).intdigest())
+    texts = sorted(((i, t or "") for i, t in ids_texts(odd)), key=lambda x: (x[0] is None, -(x[0] or 0), signed(x[1]), x[1]))
+    want = []
+    for k, (i, t) in enumerate(texts):
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + texts[(k + 1) % len(texts)][1][:half]).encode()).hexdigest()))
+    assert rows(fingerprint.query(odd), "doc_id", "n_chars", "edited_sha256") == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_fingerprints(request, which):
     df = request.getfixturevalue(which)
