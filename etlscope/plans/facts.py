@@ -181,5 +181,14 @@ def usages(facts: FactTables) -> DataFrame:
     return facts.usage.where("field is not null").select("rule_code", "kind", "join_type", "alias", "field", "table").distinct()
 
 
+def field_usage(facts: FactTables) -> DataFrame:
+    """(rule_code, kind, field, alias, join_type, condition, tables): each used column once per kind and join type.
+
+    condition is the first of the conditions, in text order, that use it; tables are comma-joined.
+    """
+    used = facts.usage.where("field is not null").groupBy("rule_code", "kind", "field", "alias", "join_type")
+    return used.agg(F.min("text").alias("condition"), F.array_join(F.array_sort(F.collect_set("table")), ",").alias("tables"))
+
+
 def short(name: str) -> F.Column:
     return short_name(F.col(name))

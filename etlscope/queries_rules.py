@@ -217,7 +217,20 @@ def a32_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(up, ["rule_code", "parent"], "left").groupBy("kind", "around", "ops").agg(F.count("*").alias("n"))
 
 
+def a25_field_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.field_usage(facts.extract(spark, joins(spark, sf_dir)))
+
+
 QUERIES: dict[str, tuple[Query, str]] = {
+    "a23_roles": (
+        _chains(lambda c: c.facts.refs.where("kind = 'table'").select("rule_code", short_name(F.col("name")).alias("tab"), "role", "join_type")),
+        CHAIN_SQL + "SELECT rule_code, s AS tab, 'main' AS role, 'FROM' AS join_type FROM step UNION ALL SELECT rule_code, 'extra', CASE p WHEN 4 THEN 'main' ELSE 'secondary' END, CASE p WHEN 8 THEN 'LEFT JOIN' ELSE 'FROM' END FROM step WHERE p IN (4, 5, 8)",
+    ),
+    "a25_field_usage": (
+        a25_field_usage,
+        JOIN_SQL + ", c AS (SELECT rule_code, i, before, 't' || i || '.k = t' || before || '.k' AS cond FROM e), u AS (SELECT rule_code, 'join' AS kind, 'k' AS field, i, 'LEFT JOIN' AS join_type, cond FROM c UNION ALL SELECT rule_code, 'join', 'k', before, 'LEFT JOIN', cond FROM c UNION ALL SELECT DISTINCT rule_code, 'where', 'w', 0, '', 't0.w > 1' FROM j WHERE n % 3 = 0) "
+        "SELECT rule_code, kind, field, 't' || i AS alias, join_type, min(cond) AS condition, 's.a' || i AS tables FROM u GROUP BY rule_code, kind, field, i, join_type",
+    ),
     "a24_usage": (a24_usage, _rows_sql(SHAPE_USAGE, "rule_code, kind, field, tab")),
     "a27_bridge_paths": (
         a27_bridge_paths,
