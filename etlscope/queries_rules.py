@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,16 +182,13 @@ def b67_cast_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = local(spark, change, "before_table string, before_field string, before_type string, after_table string, after_field string, after_type string, change_type string")
     none = local(spark, [], "before_table string, change_type string")
     strategy = local(spark, [("typed", "full")], "table string, strategy string")
+    sources, read, casts = lineage.physical_sources(lineage.step_edges(f.edges, step)), cut(topology.reads(f, step)), impact.cast_gates(f.edges, step)
     out = []
     for gates, known in (("both", ddl), ("cast", ddl.where("table <> 'typed'"))):
-        for n, _, _, _, _, after, _ in ((c[0], *c[1:]) for c in change):
-            one = changes.where(F.col("after_type") == after)
-            status = impact.field_status(one, none, lineage.physical_sources(lineage.step_edges(f.edges, step)), topology.reads(f, step), known, strategy, None, impact.cast_gates(f.edges, step))
-            out.append(status.select(F.lit(gates).alias("gates"), F.lit(after).alias("after_type"), "field", "status"))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole
+        for c in change:
+            status = impact.field_status(changes.where(F.col("after_type") == c[5]), none, sources, read, known, strategy, None, casts)
+            out.append(status.select(F.lit(gates).alias("gates"), F.lit(c[5]).alias("after_type"), "field", "status"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def b41_missing_on(spark: SparkSession, sf_dir: str) -> DataFrame:
