@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,20 +174,18 @@ def b45_type_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b67_cast_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The type of known.a or known.b changes; gates are the DDL of the target and the casts on the way."""
-    rules, ddl = _regions(spark, sf_dir, {n: t for n, (t, _) in TYPES.items() if n == "t_cast"}, "typed"), local(spark, KNOWN, "table string, column string, type string")
-    f, step = facts.extract(spark, rules, ddl=ddl), topology.steps(rules)
-    change = [("known", "a", "varchar(10)", "known", "a", f"varchar({n})", "字段类型及长度变化") for n in (15, 25, 40)]
-    changes = local(spark, change, "before_table string, before_field string, before_type string, after_table string, after_field string, after_type string, change_type string")
-    none = local(spark, [], "before_table string, change_type string")
-    strategy = local(spark, [("typed", "full")], "table string, strategy string")
-    sources, read, casts = lineage.physical_sources(lineage.step_edges(f.edges, step)), cut(topology.reads(f, step)), impact.cast_gates(f.edges, step)
-    out = []
-    for gates, known in (("both", ddl), ("cast", ddl.where("table <> 'typed'"))):
-        for c in change:
-            status = impact.field_status(changes.where(F.col("after_type") == c[5]), none, sources, read, known, strategy, None, casts)
-            out.append(status.select(F.lit(gates).alias("gates"), F.lit(c[5]).alias("after_type"), "field", "status"))
-    return reduce(DataFrame.unionByName, out)
+    """Source columns become varchar(10 * region); rules cast them to varchar(25), and every second target has varchar(15) in its DDL."""
+    r = F.col("r_regionkey").cast("string")
+    rows = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.explode(F.array(F.concat(F.lit("k"), r), F.concat(F.lit("d"), r))).alias("t"), F.col("r_regionkey").alias("n"))
+    rules = as_rules(rows, rule_code=F.col("t"), target_table=F.concat(F.lit("out_"), F.col("t")), query_sql=F.concat(F.lit("SELECT CAST(x.a AS VARCHAR(25)) AS c FROM s."), F.col("t"), F.lit(" x")), row_ord=F.col("n"))
+    ddl = rows.where("startswith(t, 'd')").select(F.concat(F.lit("out_"), F.col("t")).alias("table"), F.lit("c").alias("column"), F.lit("varchar(15)").alias("type"))
+    f, step = facts.extract(spark, rules), topology.steps(rules)
+    text = lambda v, n: F.lit(v).alias(n)
+    wider = F.concat(F.lit("varchar("), ((F.col("n") + 1) * 10).cast("string"), F.lit(")")).alias("after_type")
+    changes = rows.select(F.col("t").alias("before_table"), text("a", "before_field"), text("varchar(5)", "before_type"), F.col("t").alias("after_table"), text("a", "after_field"), wider, text("字段类型及长度变化", "change_type"))
+    none, strategy = changes.select("before_table", "change_type").limit(0), rows.select(F.concat(F.lit("out_"), F.col("t")).alias("table"), text("full", "strategy"))
+    sources = lineage.physical_sources(lineage.step_edges(f.edges, step))
+    return impact.field_status(changes, none, sources, topology.reads(f, step), ddl, strategy, None, impact.cast_gates(f.edges, step)).select("before_table", F.col("table").alias("tab"), "field", "status")
 
 
 def b41_missing_on(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +255,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     ),
     "b67_cast_gates": (
         b67_cast_gates,
-        "SELECT gates, 'varchar(' || n || ')' AS after_type, 'c1' AS field, CASE WHEN n <= least(CASE gates WHEN 'both' THEN 20 ELSE 30 END, 30) THEN 'no_impact' ELSE 'impact' END AS status FROM (VALUES ('both'), ('cast')) g(gates), (VALUES (15), (25), (40)) t(n)",
+        "SELECT t || r_regionkey AS before_table, 'out_' || t || r_regionkey AS tab, 'c' AS field, CASE WHEN 10 * (r_regionkey + 1) <= CASE t WHEN 'd' THEN least(15, 25) ELSE 25 END THEN 'no_impact' ELSE 'impact' END AS status FROM region, (VALUES ('k'), ('d')) v(t)",
     ),
     "b_chain_edges": (_chains(lambda c: c.facts.edges.select("rule_code", "output", short_name(F.col("source_table")).alias("source_table"), "source_field", "transform")), CHAIN_SQL + "SELECT rule_code, tf AS output, st AS source_table, sf AS source_field, ['direct','expression','fallback','case_when','aggregate','pivot'][rk] AS transform FROM edges"),
     "b_chain_sources": (
