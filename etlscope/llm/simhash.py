@@ -87,4 +87,4 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 3,
         mask = sum(((1 << w) - 1) << a for a, w in (parts[b] for b in chosen))
         mask -= (1 << 64) * (mask >> 63)
         first = F.when(difference.bitwiseAND(F.lit(mask).cast("long")) == 0, F.lit(t)).otherwise(first)
-    return left.join(right, ["t", "key"]).where(near & (F.col("t") == first)).select("query_fp", "fp")
+    return left.join(right.hint("merge"), ["t", "key"]).where(near & (F.col("t") == first)).select("query_fp", "fp")
