@@ -15,6 +15,12 @@ def register(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES)
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
+def exact(spark: SparkSession, table: str, *columns: str) -> None:
+    """Let a registered table give amounts as decimals (four places), whose sums do not depend on the order of rows."""
+    df = spark.table(table)
+    df.withColumns({c: df[c].cast("decimal(18,4)") for c in columns}).createOrReplaceTempView(table)
+
+
 def substituted(sql: str, variables: dict[str, str]) -> str:
     """Placeholders ${X} of known variables replaced by their values."""
     return prepass.text_of([prepass.Token("word", variables[t.text[2:-1]]) if t.kind == "param" and t.text[2:-1] in variables else t for t in prepass.tokens(sql)])
