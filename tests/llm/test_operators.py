@@ -516,6 +516,25 @@ def test_toxicity_by_plain_convolution(docs, spark):
         assert got[i] == pytest.approx(1 / (1 + np.exp(-(np.concatenate(pooled) @ model.out + model.offset))), abs=1e-4)
 
 
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """More than 3,000 of a class, and a text above 200,000 bytes: all of them enter training."""
+    texts = [(i, f"gut a{i % 40} b{i % 7}" if i % 2 else f"übel a{i % 40} c{i % 7}") for i in range(9000)] + [(9001, "lang " * 60000)]
+    documents = spark.createDataFrame([(i, t, "de") for i, t in texts], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts if i % 9], "doc_id long, toxic int")
+    parts = toxicity.shards(documents, labels, "toxic", 4).select("shard", "aside", "y", "words").collect()
+    learned = [i for i, _ in texts if i % 9 and zlib.crc32(str(i).encode()) % 5]
+    assert len(parts) == len(learned) > 6300 and sum(r["y"] for r in parts) == sum(i % 2 for i in learned)
+    assert max(len(toxicity._unpacked(r["words"])) for r in parts) == 60000 and len({r["shard"] for r in parts}) == 4
+
+
+def test_toxicity_of_many_shards(spark):
+    base = "/root/testdata/sf0.01"
+    documents, labels = util.table(spark, base, "documents"), util.table(spark, base, "labels")
+    model = toxicity.train(documents, labels, shard_rows=80)
+    got = toxicity.scored(documents.select("doc_id", "text", "lang"), model, "score", "t").join(labels, "doc_id").where(util.held_out(labels["doc_id"])).toPandas()
+    assert ((got.score >= 0.5) == got.toxic).mean() >= 0.85
+
+
 def test_quality_by_plain_densities(docs, spark):
     """Margins against log-densities computed from covariances, without factors."""
     labels = util.table(spark, SF, "labels")
