@@ -148,6 +148,19 @@ def test_stage_links_all_of_similarity(edited, spark, crowd):
     assert want <= got and len(got - want) <= 0.01 * len(sets)
 
 
+def test_stage_takes_candidates_from_simhash(edited, spark, monkeypatch):
+    """Without MinHash bands the stage still links what op7's fingerprints link, as far as it is similar enough."""
+    import corpus_pipeline
+
+    texts = sorted(ids_texts(edited))
+    sets, prints = [shingles5(t) for _, t in texts], [simhash3(t) for _, t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2 and jaccard(sets[i], sets[j]) >= 0.8]
+    assert any(sets[i] != sets[j] for i, j in pairs)
+    monkeypatch.setattr(similar, "candidates", lambda classes, *_: classes.selectExpr("cls a", "cls b").limit(0))
+    kept = {r[0] for r in corpus_pipeline.near_dedup(spark, edited, SF).select("doc_id").collect()}
+    assert {i for i, _ in texts} - kept == {i for i, _ in pairs}
+
+
 def test_stage_odd_rows(spark, odd):
     kept = similar.keep_one(odd)
     assert kept.columns == odd.columns
